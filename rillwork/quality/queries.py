@@ -184,11 +184,11 @@ def oracle_sql() -> dict[str, str]:
           s as (select *, replace(raw_line, d, chr(1)) as flat from l),
           q as (select *, case when contains(raw_line, '"') then null else string_split(flat, chr(1)) end as plain from s),
           f as (select line_id, in_data_path, k, plain as fields from q where plain is not null
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^";]*)(?:;(?:"(?:[^"]|"")*"|[^";]*))*') then regexp_extract_all(raw_line, '(?s)(?:^|;)("(?:[^"]|"")*"|[^";]*)', 1) end from q where plain is null and d = ';'
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') then regexp_extract_all(raw_line, '(?s)(?:^|,)("(?:[^"]|"")*"|[^",]*)', 1) end from q where plain is null and d = ','
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') then regexp_extract_all(raw_line, '(?s)(?:^|\t)("(?:[^"]|"")*"|[^"\t]*)', 1) end from q where plain is null and d = chr(9)
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"|]*)(?:\|(?:"(?:[^"]|"")*"|[^"|]*))*') then regexp_extract_all(raw_line, '(?s)(?:^|\|)("(?:[^"]|"")*"|[^"|]*)', 1) end from q where plain is null and d = '|'
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)(?:\|\|(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*))*') then regexp_extract_all(raw_line, '(?s)(?:^|\|\|)("(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)', 1) end from q where plain is null and d = '||'),
+            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^";]*)(?:;(?:"(?:[^"]|"")*"|[^";]*))*') then regexp_extract_all(d || raw_line, '(?s);("(?:[^"]|"")*"|[^";]*)', 1) end from q where plain is null and d = ';'
+            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') then regexp_extract_all(d || raw_line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) end from q where plain is null and d = ','
+            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') then regexp_extract_all(d || raw_line, '(?s)\t("(?:[^"]|"")*"|[^"\t]*)', 1) end from q where plain is null and d = chr(9)
+            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"|]*)(?:\|(?:"(?:[^"]|"")*"|[^"|]*))*') then regexp_extract_all(d || raw_line, '(?s)\|("(?:[^"]|"")*"|[^"|]*)', 1) end from q where plain is null and d = '|'
+            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)(?:\|\|(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*))*') then regexp_extract_all(d || raw_line, '(?s)\|\|("(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)', 1) end from q where plain is null and d = '||'),
           c as (select line_id, in_data_path, unnest(fields) as raw, unnest(range(len(fields))) as column_id from f where fields is not null and len(fields) = k),
           v as (select line_id, column_type as t, case when starts_with(raw, '"') then replace(raw[2:-2], '""', '"') else raw end as x from c join columndescript using (in_data_path, column_id)),
           b as (select distinct line_id from v where x <> '' and not case
