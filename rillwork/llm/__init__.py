@@ -1,0 +1 @@
+"""Operators on texts for training corpora. Nothing outside this subpackage imports it."""
