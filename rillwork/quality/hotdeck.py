@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hint_small
+from ..series import split_hot
 
 
 def _observed(field: str) -> Column:
@@ -24,14 +24,13 @@ def _observed(field: str) -> Column:
 
 def nearest_donors(rows: DataFrame, fields: tuple[str, ...], *, hot_rows: int = 1_000_000, slice_width: int = 1440) -> DataFrame:
     """`rows` has grp, t, rec and the fields. Returns the rows that lack a field, with prev_F and next_F structs."""
-    key = ["grp"]
-    hot = rows.groupBy("grp").count().where(F.col("count") > hot_rows).select("grp")
-    carried = None
-    if hot.limit(1).count():
-        hot = hint_small(hot).withColumn("is_hot", F.lit(True))
-        rows = rows.join(hot, "grp", "left").withColumn("slice", F.when(F.col("is_hot"), F.floor(F.col("t") / slice_width)).otherwise(0)).drop("is_hot")
+    cold, hot, _ = split_hot(rows, "grp", hot_rows)
+    key, carried = ["grp"], None
+    if hot is not None:
         key = ["grp", "slice"]
-        ends = rows.join(hot, "grp", "left_semi").groupBy(*key).agg(*(x for f in fields for x in (F.max(_observed(f)).alias(f"last_{f}"), F.min(_observed(f)).alias(f"first_{f}"))))
+        hot = hot.withColumn("slice", F.floor(F.col("t") / slice_width))
+        rows = cold.withColumn("slice", F.lit(0).cast("long")).unionByName(hot)
+        ends = hot.groupBy(*key).agg(*(x for f in fields for x in (F.max(_observed(f)).alias(f"last_{f}"), F.min(_observed(f)).alias(f"first_{f}"))))
         back = Window.partitionBy("grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         ahead = Window.partitionBy("grp").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(*key, *(x for f in fields for x in (F.last(f"last_{f}", True).over(back).alias(f"before_{f}"), F.last(f"first_{f}", True).over(ahead).alias(f"after_{f}"))))

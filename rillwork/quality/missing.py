@@ -8,7 +8,7 @@ Stand-ins are found by how they recur, not by a list of numbers:
 * a measurement is a stand-in if one fixed value, negative or far above all common values,
   makes up `min_share` of the readings and recurs on `min_sources` of all sources. Zero never is.
 
-`fit` runs three small aggregations, pre-aggregated on the map side. What it brings to the
+`fit` runs three aggregations, pre-aggregated on the map side. What it brings to the
 driver is bounded by the thresholds (at most 1 / min_share values a field), not by the data.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Spellings that say "no value" in an id.
@@ -51,16 +51,20 @@ def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...
     An empty table gives rules without stand-ins."""
     plain = MissingRules()
     found: tuple[str, ...] = ()
-    src = plain.source(source)
+    src, sources = plain.source(source), 0
     if detector:
         pairs = df.select(F.col(detector).alias("d"), src.alias("s")).where("d is not null and s is not null").groupBy("d", "s").agg(F.count("*").alias("n"))
-        home = pairs.groupBy("d").agg(F.max(F.struct("n", "s")).alias("m")).select("d", F.col("m.s").alias("home"))
-        spread = pairs.join(home, "d").groupBy("s").agg(F.count_distinct(F.when(F.col("s") != F.col("home"), F.col("home"))).alias("foreign"), F.count_if(F.col("s") == F.col("home")).alias("own"))
-        found = tuple(sorted(r.s for r in spread.where((F.col("foreign") >= min_foreign) & (F.col("foreign") > F.col("own"))).select("s").collect()))
+        homes = pairs.withColumn("home", F.max(F.struct("n", "s")).over(Window.partitionBy("d"))["s"])
+        spread = homes.groupBy("s").agg(F.count_distinct(F.when(F.col("s") != F.col("home"), F.col("home"))).alias("foreign"), F.count_if(F.col("s") == F.col("home")).alias("own"))
+        odd = (F.col("foreign") >= min_foreign) & (F.col("foreign") > F.col("own"))
+        seen = spread.agg(F.array_sort(F.collect_list(F.when(odd, F.col("s")))).alias("odd"), F.count_if(~odd).alias("k")).first()
+        found, sources = tuple(seen.odd), seen.k
     rules = MissingRules(found)
     if not fields:
         return rules
     known = rules.source(source)
+    if not detector:
+        sources = df.agg(F.approx_count_distinct(known)).first()[0]
     shape = df.agg(F.count("*").alias("n"), *(F.percentile_approx(plain.value(f), [0.25, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(fields))).first()
     cells = F.stack(F.lit(len(fields)), *(x for i, f in enumerate(fields) for x in (F.lit(i), plain.value(f)))).alias("f", "v")
     limit = F.lit(None).cast("double")
@@ -69,7 +73,6 @@ def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...
             limit = F.when(F.col("f") == i, quartiles[1] + far * max(quartiles[1] - quartiles[0], 1e-9)).otherwise(limit)
     odd = df.select(known.alias("s"), cells).where(F.col("v").isNotNull() & ((F.col("v") < 0) | (F.col("v") > limit)))
     often = odd.groupBy("f", "v", "s").agg(F.count("*").alias("n")).groupBy("f", "v").agg(F.sum("n").alias("n"), F.count("s").alias("sources"))
-    sources = df.select(known.alias("s")).where("s is not null").agg(F.approx_count_distinct("s").alias("k")).first().k
     rows = often.where((F.col("n") >= max(min_rows, min_share * shape.n)) & (F.col("sources") >= max(2, min_sources * sources))).collect()
     return MissingRules(found, tuple((f, tuple(sorted(r.v for r in rows if r.f == i))) for i, f in enumerate(fields)))
 

@@ -120,6 +120,6 @@ def regular_grid(records: DataFrame, conf: DataFrame, *, gap_seconds: int = 86_4
     if len(settings) > 10_000:
         raise ValueError("the settings table has more than 10,000 sensor types")
     base = records.where("sensor_id is not null and ts is not null and ts <= arrived_at").select(F.col("sensor_id").alias("src"), wall_micros("ts").alias("t"), F.col("msg_id").cast("long").alias("rec"), F.expr(reading_sql("event_body")).alias("v"), F.col("sensor_type").cast("int").alias("type"))
-    rows, _ = split_series(base, hot_rows, halo, unit=86_400_000_000)
+    rows, _, _ = split_series(base, hot_rows, halo, unit=86_400_000_000)
     placed = rows.repartition("src", "chunk").sortWithinPartitions("src", "chunk", "t", "rec")
     return placed.mapInArrow(_grid({k: r.step_size for k, r in settings.items()}, {k: (r.method_option or "").upper() for k, r in settings.items()}, gap_seconds), SCHEMA)

@@ -214,11 +214,10 @@ def flag_spikes(df: DataFrame, rules: MissingRules, t, *, rec: str = "rec_id", s
     no reading and is passed over; records without a valid time sort first; ties in time are
     ordered by record id; repeated rows are readings of their own; other columns are ignored."""
     base = df.select(rules.source(source).alias("src"), t.cast("long").alias("t"), F.col(rec).cast("long").alias("rec"), rules.value(speed).alias("a"), rules.value(travel).alias("b")).where("src is not null and rec is not null and (a is not null or b is not null)")
-    rows, hot = split_series(base, hot_rows, halo, unit=1440)
+    rows, hot, chunks = split_series(base, hot_rows, halo, unit=1440)
     if hot is not None:
         a, b = F.when((F.col("a") > 0) & (F.col("a") <= SPEED_MAX), F.col("a")), F.when(F.col("b") > 0, F.col("b"))
         stats = exact_medians(hot.select("src", F.stack(F.lit(3), F.lit(0), a, F.lit(1), b, F.lit(2), a * b).alias("field", "v")).where("v is not null"))
-        chunks = rows.where(F.col("chunk") >= 0).join(stats.select("src").distinct(), "src", "left_semi").select("src", "chunk").distinct()
         heads = chunks.join(stats, "src").select("src", F.lit(-(2**62)).alias("t"), F.explode(F.array(F.struct(F.col("field").cast("long").alias("rec"), F.col("median").alias("a")), F.struct((F.col("field") + 3).cast("long").alias("rec"), F.col("spread").alias("a")))).alias("h"), "chunk")
         rows = rows.unionByName(heads.select("src", "t", "h.rec", "h.a", F.lit(None).cast("double").alias("b"), "chunk", F.lit(HEADER).alias("kind")))
     placed = rows.repartition("src", "chunk").sortWithinPartitions("src", "chunk", "t", "rec")

@@ -17,27 +17,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import hint_small
-
 CORE, HALO, HEADER = 0, 1, 2
 
 
-def split_series(df: DataFrame, hot_rows: int, halo: int, unit: int) -> tuple[DataFrame, DataFrame | None]:
-    """`df` has src, t, rec and payload columns. Returns the rows with `chunk` and `kind`
-    (CORE or HALO), and the hot sources' own rows (None where there are none).
+def split_hot(df: DataFrame, key: str, hot_rows: int, most: int = 5_000) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(other rows, rows of hot keys, (key, n) of the hot keys); the latter two are None where no key is hot.
+
+    One job counts rows per key, combined on the map side. Up to `most` hot keys become
+    literals of a filter, so no branch counts again; more are joined as a table."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    found = counts.limit(most + 1).collect()
+    if not found:
+        return df, None, None
+    if len(found) > most:
+        keys = counts.select(key)
+        return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi"), counts
+    is_hot = F.coalesce(F.col(key).isin([r[key] for r in found]), F.lit(False))
+    return df.where(~is_hot), df.where(is_hot), df.sparkSession.createDataFrame([(r[key], r.n) for r in found], counts.schema)
+
 
-    One small job counts rows per source. Sources are anti/semi joined against the hot
-    ones, of which there are at most rows / hot_rows."""
-    hot = df.groupBy("src").count().where(F.col("count") > hot_rows).select("src")
-    if not hot.limit(1).count():
-        return df.withColumns({"chunk": F.lit(0), "kind": F.lit(CORE)}), None
-    hot = hint_small(hot)
-    cold_rows, hot_rows_df = df.join(hot, "src", "left_anti"), df.join(hot, "src", "left_semi")
-    units = hot_rows_df.withColumn("unit", F.floor(F.coalesce(F.col("t"), F.lit(-1)) / unit))
+def split_series(df: DataFrame, hot_rows: int, halo: int, unit: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """`df` has src, t, rec and payload columns. Returns the rows with `chunk` and `kind` (CORE or
+    HALO), the hot sources' own rows, and their chunks as (src, chunk); None where there are none."""
+    cold, hot, counts = split_hot(df, "src", hot_rows)
+    cold = cold.withColumns({"chunk": F.lit(0), "kind": F.lit(CORE)})
+    if hot is None:
+        return cold, None, None
+    units = hot.withColumn("unit", F.floor(F.coalesce(F.col("t"), F.lit(-1)) / unit))
     before = Window.partitionBy("src").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
     offsets = units.groupBy("src", "unit").agg(F.count("*").alias("n")).select("src", "unit", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("src", "unit").orderBy("t", "rec")
-    ranked = units.join(offsets, ["src", "unit"]).withColumn("rank", F.col("offset") + F.row_number().over(inside) - 1)
+    ranked = units.withColumn("own", F.row_number().over(inside) - 1).join(offsets, ["src", "unit"]).withColumn("rank", F.col("offset") + F.col("own"))
     chunk, at = F.floor(F.col("rank") / hot_rows).cast("int"), F.col("rank") % hot_rows
     copies = F.array_compact(F.array(
         F.struct(chunk.alias("chunk"), F.lit(CORE).alias("kind")),
@@ -45,7 +55,8 @@ def split_series(df: DataFrame, hot_rows: int, halo: int, unit: int) -> tuple[Da
         F.when(at >= hot_rows - halo, F.struct((chunk + 1).alias("chunk"), F.lit(HALO).alias("kind"))),
     ))
     spread = ranked.select(*df.columns, F.explode(copies).alias("c")).select(*df.columns, "c.chunk", "c.kind")
-    return cold_rows.withColumns({"chunk": F.lit(0), "kind": F.lit(CORE)}).unionByName(spread), hot_rows_df
+    chunks = counts.select("src", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / hot_rows).cast("int"))).alias("chunk"))
+    return cold.unionByName(spread), hot, chunks
 
 
 def changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
