@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, packing, tokens
+from . import leaks, packing, residue, tokens
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,8 +33,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_passages(spark, d).select("doc_id", "item_id")
 
 
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    return residue.judge_residue(_read(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_judged(spark, d).where("is_residue").select("doc_id")
+
+
 def queries() -> dict:
-    return {n: globals()[n] for n in "p7_packing p7_fill p8_found p8_passages".split()}
+    return {n: globals()[n] for n in "p7_packing p7_fill p8_found p8_passages p9_found p9_judged".split()}
 
 
 def oracle_sql() -> dict[str, str]:

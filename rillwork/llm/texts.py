@@ -11,6 +11,7 @@ INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->|<!doctype[^<>]*>", re.I | re.S)
 _HIDDEN = re.compile(r"<(head|script|style)\b.*?</\1\s*>", re.I | re.S)
+_HANGUL_RUN = re.compile("[가-힣]{2,}")
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile("�|[À-ô][\u0080-¿Œ-Ÿˆ-›€™]|[^\\W\\d_]\\?[^\\W\\d_]|[\u0080-\u009f]")
 
@@ -49,8 +50,8 @@ def decode(raw: bytes) -> str:
             page = raw.decode(charset)
         except UnicodeDecodeError:
             continue
-        # western bytes rarely fit cp949, and then not as Hangul
-        if charset == "cp949" and not sum("가" <= c <= "힣" for c in page) * 2 > sum(not c.isascii() for c in page):
+        # western bytes may fit cp949 by chance, but then as single syllables between Latin letters
+        if charset == "cp949" and 2 * sum(map(len, _HANGUL_RUN.findall(page))) < sum(not c.isascii() for c in page):
             continue
         break
     else:
