@@ -86,7 +86,7 @@ def drop_first(n: int, order_by: list[ColumnRef]) -> Op:
 @operator("drop_last")
 def drop_last(n: int, order_by: list[ColumnRef]) -> Op:
     """Without the last n rows of a declared total order."""
-    return lambda df: numbered(df, [col(c).desc() for c in names_of(df, order_by)], "__rn").where(F.col("__rn") > n).drop("__rn")
+    return lambda df: numbered(df, names_of(df, order_by), "__rn", descending=True).where(F.col("__rn") > n).drop("__rn")
 
 
 @operator("sample_simple")

@@ -140,24 +140,25 @@ def add_zone_id(name: str = "zoneId", mode: str = "INCREMENTAL", order_by: list[
     return run
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Consecutive row numbers from 1 by `order` (names or columns; must be a total order) without
+def numbered(df: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
+    """Consecutive row numbers from 1 by the columns `order` (which must make a total order) without
     one task for all rows.
 
-    A histogram of the leading key gives each key value's first number; rows are then
-    numbered within their key value."""
-    keys = [col(c) if isinstance(c, str) else c for c in order]
-    if not keys:
+    A histogram of the leading column gives each of its values a first number; rows are then
+    numbered within their value."""
+    if not order:
         raise ValidationError("an order is needed")
-    lead = f"{name}__lead"
-    df = df.withColumn(lead, keys[0])
     use_checkpoints(df.sparkSession)
+    turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    lead = f"{name}__lead"
+    df = df.withColumn(lead, col(order[0]))
     # written down, as both uses below must see the same range partitions
-    buckets = df.groupBy(lead).count().repartitionByRange(lead).withColumn("__part", F.spark_partition_id()).checkpoint()
+    buckets = df.groupBy(lead).count().repartitionByRange(turn(lead)).withColumn("__part", F.spark_partition_id()).checkpoint()
     sums = buckets.groupBy("__part").agg(F.sum("count").alias("__n"))
     ahead = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    inside = Window.partitionBy("__part").orderBy(lead).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__part").orderBy(turn(lead)).rowsBetween(Window.unboundedPreceding, -1)
     first = buckets.withColumn("__own", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(ahead, "__part").select(F.col(lead).alias("__lead"), (F.col("__own") + F.col("__shift")).alias("__first"))
+    keys = [col(c).desc() if descending else col(c).asc() for c in order]
     ranked = df.withColumn("__in", F.row_number().over(Window.partitionBy(lead).orderBy(*keys)))
     return ranked.join(first, F.col(lead).eqNullSafe(F.col("__lead"))).withColumn(name, F.col("__first") + F.col("__in")).drop(lead, "__lead", "__in", "__first")
 

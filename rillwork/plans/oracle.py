@@ -145,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
         "loss_dm": f"select cast(sum(case when n >= 10 then n * n else 0 end) + sum(case when n < 10 then n else 0 end) * sum(n) as bigint) as dm from {_SIZES}",
         "loss_cardinality": "select (greatest(0, 1 - count(distinct c_nationkey // 5) / count(distinct c_nationkey)) + 0) / 2 as cardinality_loss from customer",
         "loss_equivalence": "select 1 - (select count(*) from (select distinct c_nationkey // 5, c_mktsegment from customer)) / (select count(*) from (select distinct c_nationkey, c_mktsegment from customer)) as equivalence_loss",
-        "loss_hierarchy": "select count(*) * 0.5 as hierarchical_loss from customer",
+        "loss_hierarchy": "select cast(count(*) * 0.5 as double) as hierarchical_loss from customer",
         "risk_reid": f"select 1.0 / min(n) as risk from {_SIZES}",
         "risk_global": f"select round(avg(1.0 / n), 8) as global_risk from {_SIZES}",
         "stream_filter": "select event_id, value from events where value > 50",
