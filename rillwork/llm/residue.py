@@ -95,7 +95,8 @@ _SEPARATED = re.compile(r"\S(?:\s*[|·»•]\s*|\s{2,}|\s/\s)\S")
 #: Words of pages that write about templates.
 EXPLAINED = re.compile("in the template|template engine|code such as|is replaced|gets replaced|we write|plantilla|modèle on écrit|le modèle|vorlage|schreibt man|템플릿|서식|틀에")
 #: What is typed to fill a box.
-MASH = re.compile(r"^(?:(?:asdf\w*|qwert?\w*|zxcv\w*|hjkl|blah|bla|xxx+|yyy+|zzz+|abc|foo|bar|baz|test|text)\W*){3,}$", re.I)
+_MASHED = r"(?:asdf\w*|qwert?\w*|zxcv\w*|hjkl|blah|bla|x{3,9}|y{3,9}|z{3,9}|abc|foo|bar|baz|test|text)"
+MASH = re.compile(rf"^(?:{_MASHED}\W+){{2,}}{_MASHED}\W*$", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
