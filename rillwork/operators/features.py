@@ -83,7 +83,7 @@ def pca(k: int = 2, columns: list[ColumnRef] | None = None) -> Op:
 
 @operator("tree_select")
 def tree_select(label: str, max_depth: int = 5, min_info_gain: float = 0.0, min_instances: int = 1, max_bins: int = 32, impurity: str = "gini", seed: int = 7) -> Op:
-    """The columns that a decision tree for the label makes use of; texts are indexed for the tree."""
+    """The columns that a decision tree for the label makes use of, without the label; texts are indexed for the tree."""
     from pyspark.ml.classification import DecisionTreeClassifier
 
     def run(df: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def tree_select(label: str, max_depth: int = 5, min_info_gain: float = 0.0, min_
         tree = DecisionTreeClassifier(featuresCol="__x", labelCol=f"__{y}", maxDepth=max_depth, minInfoGain=min_info_gain, minInstancesPerNode=min_instances, maxBins=max_bins, impurity=impurity, seed=seed)
         model = tree.fit(assemble(work, inputs[:-1], "__x", "skip"))
         weight = model.featureImportances.toArray()
-        return df.select(*(col(c) for c, w in zip(features, weight, strict=True) if w > 0), col(y))
+        return df.select(*(col(c) for c, w in zip(features, weight, strict=True) if w > 0))
 
     return run
 
