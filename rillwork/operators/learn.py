@@ -216,7 +216,8 @@ def agglomerative(clusters: int, link: str = "SINGLE", columns: list[ColumnRef]
             return pdf.assign(**{name: link_clusters(pdf[chosen].to_numpy(float), clusters, link).astype("int32")})
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema.fields) + f", `{name}` int"
-        made = (distinct.groupBy(*map(col, by)) if by else distinct.groupBy(F.lit(0))).applyInPandas(one, schema)
+        grouped = distinct.groupBy(*map(col, by)) if by else distinct.withColumn("__all", F.lit(0)).groupBy("__all")
+        made = grouped.applyInPandas(lambda pdf: one(pdf.drop(columns="__all", errors="ignore")), schema)
         return df.join(made, [*by, *chosen], "left")
 
     return run

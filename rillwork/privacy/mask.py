@@ -28,8 +28,8 @@ def step_of(low: float, high: float, buckets: int) -> float:
 
 
 def bucket(value: Column, low: float, high: float, buckets: int, last: int) -> Column:
-    """Number of a value's bucket; buckets from `last` on are one."""
-    return F.least(F.floor((value - low) / step_of(low, high, buckets)), F.lit(last)).cast("int")
+    """Number of a value's bucket, null for null; buckets from `last` on are one."""
+    return F.when(value.isNotNull(), F.least(F.floor((value - low) / step_of(low, high, buckets)), F.lit(last)).cast("int"))
 
 
 def embedded(c: Column) -> Column:
