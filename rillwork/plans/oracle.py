@@ -45,7 +45,7 @@ def oracle_sql() -> dict[str, str]:
         "rename_positions": "select cast(n_nationkey as bigint) as k, n_name as name, n_regionkey from nation",
         "cast_cols": "select cast(l_orderkey as varchar) as l_orderkey, l_linenumber, cast(trunc(l_quantity) as int) as l_quantity, try_cast(l_returnflag as double) as l_returnflag from lineitem",
         "add_conditional": "select o_orderkey, case when o_totalprice > 300000 then 'large' when o_totalprice > 100000 then 'medium' when o_totalprice <= 10000 then 'tiny' end as size from orders",
-        "column_arith": "select l_orderkey, l_linenumber, l_extendedprice, l_quantity * 3 as l_quantity, round(l_extendedprice / l_quantity, 6) as unit from lineitem",
+        "column_arith": "select l_orderkey, l_linenumber, l_extendedprice, l_quantity * 3 as l_quantity, round(l_extendedprice / l_quantity + 1e-9, 6) as unit from lineitem",
         "zone_ids": "select s_suppkey, cast(row_number() over (order by s_acctbal, s_suppkey) - 1 as int) as zone from supplier",
         "concat_cols": "select n_nationkey, n_name || '-' || n_regionkey as joined from nation",
         "null_replace": "select nullif(c_custkey, 0) as c_custkey, nullif(c_nationkey, 0) as c_nationkey, case when c_nationkey = 3 then null else nullif(c_mktsegment, '') end as c_mktsegment from customer",
@@ -98,9 +98,9 @@ def oracle_sql() -> dict[str, str]:
         "equal_width_bin": "select p_partkey, 'range' || cast(least(floor((p_retailprice - lo) / ((hi - lo) / 4)), 3) + 1 as int) as bin from part, (select min(p_retailprice) as lo, max(p_retailprice) as hi from part)",
         "minmax_scale": "select c_custkey, round((c_acctbal - lo) / (hi - lo) * 2 - 1, 8) as c_acctbal from customer, (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)",
         "minmax_declared": "select c_custkey, round((c_acctbal + 1000) / 11000 * 10, 8) as c_acctbal from customer",
-        "interpolate_linear": f"select day, round(case when pd = nd then pt else pt + (day - pd) * (nt - pt) / (nd - pd) end, 4) as total from {_NEAR}",
-        "interpolate_previous": f"select day, round(pt, 4) as total from {_NEAR}",
-        "interpolate_nearest": f"select day, round(case when day - pd <= nd - day then pt else nt end, 4) as total from {_NEAR}",
+        "interpolate_linear": f"select day, round(case when pd = nd then pt else pt + (day - pd) * (nt - pt) / (nd - pd) end + 1e-9, 4) as total from {_NEAR}",
+        "interpolate_previous": f"select day, round(pt + 1e-9, 4) as total from {_NEAR}",
+        "interpolate_nearest": f"select day, round(case when day - pd <= nd - day then pt else nt end + 1e-9, 4) as total from {_NEAR}",
         "time_sync": f"""with d as (select day, total from {_DAILY}), a as (select cast(unnest(generate_series(min(day), max(day), 2)) as int) as g from d), b as (select cast(unnest(generate_series(min(day) + 1, max(day) + 1, 2)) as int) as g from d)
           select a.g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from a join b on a.g = b.g asof join d x on a.g >= x.day asof join (select day + 1 as day, total from d) y on a.g >= y.day""",
         "explode_col": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as chars from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1",

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import hotdeck, lateness, missing, regrid, rejects, spikes, trailing
 
 FIELDS = ("prcs_spd", "prcs_trv_time")
+#: Added before rounding, here and in the oracles, so that halves go the same way in both.
+EPS = 1e-9
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,7 +58,7 @@ def _date(col: str) -> F.Column:
 
 def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
     t = trailing.trailing_totals(_daily(spark, d))
-    return t.select(F.col("src").alias("link_id"), _date("day").alias("prcs_date"), "readings_7", F.round("total_7", 3).alias("total_7"), F.round("mean_7", 6).alias("mean_7"), "readings_30", F.round("total_30", 3).alias("total_30"), F.round("mean_30", 6).alias("mean_30"))
+    return t.select(F.col("src").alias("link_id"), _date("day").alias("prcs_date"), "readings_7", F.round("total_7", 3).alias("total_7"), F.round(F.col("mean_7") + EPS, 6).alias("mean_7"), "readings_30", F.round("total_30", 3).alias("total_30"), F.round(F.col("mean_30") + EPS, 6).alias("mean_30"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +76,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_revisions(spark: SparkSession, d: str) -> DataFrame:
     r = lateness.revised_aggregates(_judged(spark, d))
-    return r.withColumns({c: F.round(c, 6) for c in ("total", "mean")})
+    return r.withColumns({c: F.round(F.col(c) + EPS, 6) for c in ("total", "mean")})
 
 
 def _parsed(spark: SparkSession, d: str, cells: bool) -> DataFrame:
@@ -171,13 +173,13 @@ def oracle_sql() -> dict[str, str]:
           c as (select link, cast(unnest(generate_series(min(day), max(day), interval 1 day)) as date) as day from t group by link),
           f as (select c.link, c.day, coalesce(n, 0) as n, s from c left join t using (link, day))
           select link as link_id, strftime(day, '%Y-%m-%d') as prcs_date,
-            cast(sum(n) over w7 as bigint) as readings_7, round(sum(s) over w7, 3) as total_7, round(sum(s) over w7 / nullif(sum(n) over w7, 0), 6) as mean_7,
-            cast(sum(n) over w30 as bigint) as readings_30, round(sum(s) over w30, 3) as total_30, round(sum(s) over w30 / nullif(sum(n) over w30, 0), 6) as mean_30 from f
+            cast(sum(n) over w7 as bigint) as readings_7, round(sum(s) over w7, 3) as total_7, round(sum(s) over w7 / nullif(sum(n) over w7, 0) + 1e-9, 6) as mean_7,
+            cast(sum(n) over w30 as bigint) as readings_30, round(sum(s) over w30, 3) as total_30, round(sum(s) over w30 / nullif(sum(n) over w30, 0) + 1e-9, 6) as mean_30 from f
           window w7 as (partition by link order by day rows between 6 preceding and current row), w30 as (partition by link order by day rows between 29 preceding and current row)""",
         "p3_found": f"select msg_id from ({_JUDGED}) where late",
         "p3_revisions": f"""with j as ({_JUDGED}), e as (select sensor_id, ts_us, event_body, min(arr_us) as arr_us, arg_min(late, (arr_us, msg_id)) as late, max(window_s) as w, any_value(v) as v from j where window_s > 0 group by sensor_id, ts_us, event_body),
           c as (select sensor_id, cast(floor(ts_us / 1000000 / w) as bigint) * w as period_start, cast(floor(arr_us / 1000000 / w) as bigint) * w as arrival_start, count(*) filter (not late) as n, count(*) filter (late) as nl, sum(v) filter (not late) as s, count(v) filter (not late) as k, min(v) filter (not late) as lo, max(v) filter (not late) as hi from e group by 1, 2, 3)
-          select a.sensor_id, a.period_start, a.arrival_start, cast(count(*) as int) as revision, cast(sum(b.n) as bigint) as records, cast(sum(b.k) as bigint) as readings, round(sum(b.s), 6) as total, round(sum(b.s) / nullif(sum(b.k), 0), 6) as mean, min(b.lo) as low, max(b.hi) as high, cast(sum(b.nl) as bigint) as rejected,
+          select a.sensor_id, a.period_start, a.arrival_start, cast(count(*) as int) as revision, cast(sum(b.n) as bigint) as records, cast(sum(b.k) as bigint) as readings, round(sum(b.s) + 1e-9, 6) as total, round(sum(b.s) / nullif(sum(b.k), 0) + 1e-9, 6) as mean, min(b.lo) as low, max(b.hi) as high, cast(sum(b.nl) as bigint) as rejected,
             a.arrival_start = max(a.arrival_start) over (partition by a.sensor_id, a.period_start) as is_final
           from c a join c b on a.sensor_id = b.sensor_id and a.period_start = b.period_start and b.arrival_start <= a.arrival_start group by a.sensor_id, a.period_start, a.arrival_start""",
         "p4_found": r"""with l as (select line_id, in_data_path, raw_line, field_delimiter as d, column_count as k from input_lines left join datadescript using (in_data_path)),

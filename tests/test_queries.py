@@ -22,7 +22,7 @@ def con(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}" if v else "0"
+        return "nan" if math.isnan(v) else repr(v) if v else "0"
     return "" if v is None else str(v)
 
 
