@@ -83,17 +83,27 @@ def join_range(key: str | None, value: str, low: str, high: str, width: float) -
 
 
 @operator("join_asof")
-def join_asof(key: str, time: str, right_columns: list[str]) -> Op:
+def join_asof(key: str, time: str, right_columns: list[str], segment: str | float = "day") -> Op:
     """Each left row with the right side's latest row of its key at or before its time; null where there is none.
 
-    Union and one window per key; no join. Ties on the right: the greatest tuple of columns."""
+    Union and windows, no join of rows. Windows run per key and segment of time (a unit of date_trunc, or a width
+    for numbers); the latest right row before each segment is carried in, so a hot key is spread over
+    its segments. Ties on the right: the greatest tuple of columns. Null keys match nothing."""
 
     def run(a: DataFrame, b: DataFrame) -> DataFrame:
-        payload = F.struct(*[col(c).alias(c) for c in right_columns])
-        rows = a.select(col(key), col(time), F.struct(*map(col, a.columns)).alias("__l"), F.lit(None).cast(b.select(payload).schema[0].dataType).alias("__r"), F.lit(1).alias("__o")).unionByName(
-            b.select(col(key), col(time), F.lit(None).cast(a.select(F.struct(*map(col, a.columns))).schema[0].dataType).alias("__l"), payload.alias("__r"), F.lit(0).alias("__o")))
-        w = Window.partitionBy(key).orderBy(time, "__o", "__r").rowsBetween(Window.unboundedPreceding, 0)
-        out = rows.withColumn("__m", F.last("__r", True).over(w)).where("__o = 1")
+        payload = F.struct(col(time).alias("__t"), *[col(c).alias(c) for c in right_columns])
+        whole = F.struct(*map(col, a.columns))
+        kind = b.select(payload).schema[0].dataType
+        part = F.floor(F.col("__t") / segment) if isinstance(segment, int | float) else F.date_trunc(segment, F.col("__t"))
+        left = a.select(col(key).alias("__k"), col(time).alias("__t"), whole.alias("__l"), F.lit(None).cast(kind).alias("__r"), F.lit(1).alias("__o"))
+        right = b.where(col(key).isNotNull() & col(time).isNotNull()).select(col(key).alias("__k"), col(time).alias("__t"), F.lit(None).cast(a.select(whole).schema[0].dataType).alias("__l"), payload.alias("__r"), F.lit(0).alias("__o"))
+        rows = left.unionByName(right).withColumn("__s", part)
+        lasts = rows.groupBy("__k", "__s").agg(F.max("__r").alias("__r"))
+        before = Window.partitionBy("__k").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lasts.select(F.col("__k").alias("__ck"), F.col("__s").alias("__cs"), F.last("__r", True).over(before).alias("__c"))
+        w = Window.partitionBy("__k", "__s").orderBy("__t", "__o", "__r").rowsBetween(Window.unboundedPreceding, 0)
+        near = rows.withColumn("__m", F.last("__r", True).over(w)).where("__o = 1")
+        out = near.join(carried, (F.col("__k") == F.col("__ck")) & (F.col("__s") == F.col("__cs")), "left").withColumn("__m", F.when(F.col("__k").isNotNull() & F.col("__t").isNotNull(), F.coalesce("__m", "__c")))
         return out.select("__l.*", *(F.col(f"__m.`{c}`").alias(c if c not in a.columns else f"{c}_right") for c in right_columns))
 
     return run

@@ -140,27 +140,34 @@ def add_zone_id(name: str = "zoneId", mode: str = "INCREMENTAL", order_by: list[
     return run
 
 
-def numbered(df: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, descending: bool = False, hot_rows: int = 1_000_000) -> DataFrame:
     """Consecutive row numbers from 1 by the columns `order` (which must make a total order) without
     one task for all rows.
 
-    A histogram of the leading column gives each of its values a first number; rows are then
-    numbered within their value."""
+    A histogram of the leading column gives each of its values a first number; rows are then numbered
+    within their value. If a value has more than `hot_rows` rows, rows are range-partitioned by all
+    of `order` instead, written down, and numbered within their range."""
     if not order:
         raise ValidationError("an order is needed")
     use_checkpoints(df.sparkSession)
     turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    keys = [col(c).desc() if descending else col(c).asc() for c in order]
     lead = f"{name}__lead"
-    df = df.withColumn(lead, col(order[0]))
-    # written down, as both uses below must see the same range partitions
-    buckets = df.groupBy(lead).count().repartitionByRange(turn(lead)).withColumn("__part", F.spark_partition_id()).checkpoint()
+    # written down, as the uses below must see the same range partitions
+    buckets = df.groupBy(col(order[0]).alias(lead)).count().repartitionByRange(turn(lead)).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions, not rows
+    if (buckets.agg(F.max("count")).first()[0] or 0) > hot_rows:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()).checkpoint()
+        shift = placed.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__shift"))
+        inside = placed.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+        return inside.join(shift, "__part").withColumn(name, F.col("__shift") + F.col("__in")).drop("__part", "__in", "__shift")
     sums = buckets.groupBy("__part").agg(F.sum("count").alias("__n"))
-    ahead = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    shift = sums.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__shift"))
     inside = Window.partitionBy("__part").orderBy(turn(lead)).rowsBetween(Window.unboundedPreceding, -1)
-    first = buckets.withColumn("__own", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(ahead, "__part").select(F.col(lead).alias("__lead"), (F.col("__own") + F.col("__shift")).alias("__first"))
-    keys = [col(c).desc() if descending else col(c).asc() for c in order]
-    ranked = df.withColumn("__in", F.row_number().over(Window.partitionBy(lead).orderBy(*keys)))
-    return ranked.join(first, F.col(lead).eqNullSafe(F.col("__lead"))).withColumn(name, F.col("__first") + F.col("__in")).drop(lead, "__lead", "__in", "__first")
+    first = buckets.withColumn("__own", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(shift, "__part").select(F.col(lead).alias("__lead"), (F.col("__own") + F.col("__shift")).alias("__first"))
+    ranked = df.withColumn("__in", F.row_number().over(Window.partitionBy(col(order[0])).orderBy(*keys)))
+    return ranked.join(first, col(order[0]).eqNullSafe(F.col("__lead"))).withColumn(name, F.col("__first") + F.col("__in")).drop("__lead", "__in", "__first")
 
 
 @operator("add_time_index")

@@ -5,7 +5,7 @@ from the number alone, so windows need no further shuffle. With `groups`, window
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import ColumnRef, col, names_of
@@ -17,9 +17,11 @@ from .project import numbered
 def _numbered(df: DataFrame, order: list[ColumnRef], groups: list[ColumnRef]) -> DataFrame:
     if groups:
         by = names_of(df, groups)
-        counts = df.groupBy(*map(col, by)).agg(F.count("*").alias("__n"))
-        ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*map(col, by)).orderBy(*map(col, names_of(df, order)))))
-        return ranked.join(counts, by)
+        # numbered over all groups at once, then shifted: a hot group is spread like any range of rows
+        n = numbered(df, [*by, *names_of(df, order)], "__rn")
+        ends = n.groupBy(*(col(c).alias(f"__g{i}") for i, c in enumerate(by))).agg(F.min("__rn").alias("__first"), F.count("*").alias("__n"))
+        on = [col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
+        return n.join(ends, on).withColumn("__rn", F.col("__rn") - F.col("__first") + 1)
     total = df.agg(F.count("*").alias("__n"))
     return numbered(df, names_of(df, order), "__rn").crossJoin(F.broadcast(total))
 

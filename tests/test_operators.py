@@ -127,6 +127,10 @@ def test_numbering_is_exact(spark):
     df = spark.range(0, 500, 1, 7).selectExpr("cast((id * 37) % 50 as int) as a", "id")
     got = project.numbered(df, ["a", "id"], "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 501)) and [(r.a, r.id) for r in got] == sorted((r.a, r.id) for r in got)
+    hot = project.numbered(df, ["a", "id"], "n", hot_rows=3).orderBy("n").collect()
+    assert [(r.a, r.id, r.n) for r in hot] == [(r.a, r.id, r.n) for r in got]
+    back = project.numbered(df, ["a", "id"], "n", descending=True, hot_rows=3).orderBy("n").collect()
+    assert [(r.a, r.id) for r in back] == [(r.a, r.id) for r in got][::-1]
     assert filters.drop_last(490, ["a", "id"])(filters.drop_first(3, ["a", "id"])(df)).count() == 7
     assert project.numbered(df.limit(0), ["a"], "n").count() == 0
 
@@ -159,7 +163,7 @@ def test_joins(spark):
     zipped = values(joins.append_columns([["a"], ["b"]])(a, b))
     assert sorted(zipped, key=str)[0][:2] == (1, "x") and len(zipped) == 3
     assert joins.merge_tables(["CONCAT"])(a, a).count() == 6
-    near = joins.join_asof("k", "t", ["v"])(spark.createDataFrame([(1, 5), (1, 1)], "k int, t int"), spark.createDataFrame([(1, 2, "p"), (1, 5, "q")], "k int, t int, v string"))
+    near = joins.join_asof("k", "t", ["v"], 3)(spark.createDataFrame([(1, 5), (1, 1)], "k int, t int"), spark.createDataFrame([(1, 2, "p"), (1, 5, "q")], "k int, t int, v string"))
     assert sorted(values(near), key=str) == [(1, 1, None), (1, 5, "q")]
     ranged = joins.join_range(None, "t", "lo", "hi", 10)(spark.createDataFrame([(5,), (25,)], "t int"), spark.createDataFrame([(0, 30), (26, 40), (9, 1)], "lo int, hi int"))
     assert sorted(values(ranged)) == [(5, 0, 30), (25, 0, 30)]
