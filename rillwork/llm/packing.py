@@ -66,9 +66,13 @@ def pieces(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     """(target_id, capacity, doc_id, piece, offset, length): one row per document and target, more only where it is longer than the container."""
     cap, n = F.col("capacity"), F.col("n_tokens")
     full = F.floor(n / cap)
-    both = lengths.join(F.broadcast(targets), how="cross") if targets.count() <= 1_000 else None
-    if both is None:
+    chosen = targets.limit(1_001).collect()
+    if len(chosen) > 1_000:
         raise ValueError("more than 1,000 container sizes")
+    if not chosen:
+        return lengths.sparkSession.createDataFrame([], "target_id int, capacity long, doc_id long, piece long, offset long, length long")
+    each = F.array(*(F.struct(F.lit(r.target_id).alias("target_id"), F.lit(r.capacity).cast("long").alias("capacity")) for r in chosen))
+    both = lengths.select("doc_id", "n_tokens", F.inline(each))
     parts = F.when(n <= cap, F.array(F.struct(F.lit(0).cast("long").alias("piece"), n.alias("length")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.when(n % cap == 0, full - 1).otherwise(full)), lambda i: F.struct(i.alias("piece"), F.least(cap, n - i * cap).alias("length")))
     )
