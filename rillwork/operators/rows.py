@@ -22,8 +22,7 @@ def _numbered(df: DataFrame, order: list[ColumnRef], groups: list[ColumnRef]) ->
         ends = n.groupBy(*(col(c).alias(f"__g{i}") for i, c in enumerate(by))).agg(F.min("__rn").alias("__first"), F.count("*").alias("__n"))
         on = [col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(by)]
         return n.join(ends, on).withColumn("__rn", F.col("__rn") - F.col("__first") + 1)
-    total = df.agg(F.count("*").alias("__n"))
-    return numbered(df, names_of(df, order), "__rn").crossJoin(F.broadcast(total))
+    return numbered(df, names_of(df, order), "__rn").withColumn("__n", df.agg(F.count("*")).scalar())
 
 
 @operator("sliding_rows")

@@ -51,15 +51,14 @@ def t_closeness(df: DataFrame, quasi: list[ColumnRef], sensitive: ColumnRef) ->
     """Half the summed difference between a class's and the table's shares of each value: `t` of the worst class and `t_sum` of all.
 
     Values that a class lacks add their whole share, which is 1 minus the share of those it has; so no grid is made."""
-    per = _value_counts(df, quasi, sensitive).persist()
-    overall = per.groupBy("s").agg(F.sum("c").alias("a"))
-    rows = overall.agg(F.sum("a").alias("total"))
+    per = _value_counts(df, quasi, sensitive)
+    overall = per.groupBy("s").agg(F.sum("c").alias("a")).withColumnRenamed("s", "_s")
+    total = df.agg(F.count("*")).scalar()
     keys = _keys(quasi)
     sizes = per.groupBy(*keys).agg(F.sum("c").alias("n")).withColumnsRenamed({k: f"_{k}" for k in keys})
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    share = per.join(sizes, on).join(overall.withColumnRenamed("s", "_s"), F.col("s").eqNullSafe(F.col("_s"))).crossJoin(F.broadcast(rows))
-    p, q = F.col("c") / F.col("n"), F.col("a") / F.col("total")
-    t = share.groupBy(*keys).agg(((F.sum(F.abs(p - q)) + 1 - F.sum(q)) / 2).alias("t"))
+    share = per.join(sizes, on).join(overall, F.col("s").eqNullSafe(F.col("_s"))).select(*keys, (F.col("c") / F.col("n")).alias("p"), (F.col("a") / total).alias("q"))
+    t = share.groupBy(*keys).agg(((F.sum(F.abs(F.col("p") - F.col("q"))) + 1 - F.sum("q")) / 2).alias("t"))
     return t.agg(F.max("t").alias("t"), F.sum("t").alias("t_sum"))
 
 
@@ -82,16 +81,16 @@ def discernibility(df: DataFrame, quasi: list[ColumnRef], fill: str = "*") -> Da
 def cardinality_loss(original: DataFrame, anonymous: DataFrame, columns: list[ColumnRef]) -> DataFrame:
     """Mean over columns of 1 - distinct values after / before, not below 0."""
     names = names_of(original, columns)
-    count = lambda df, tag: df.agg(*(F.count_distinct(col(c)).alias(f"{tag}{i}") for i, c in enumerate(names)))
-    both = count(original, "o").crossJoin(F.broadcast(count(anonymous, "a")))
-    loss = [F.greatest(F.lit(0.0), 1 - F.col(f"a{i}") / F.col(f"o{i}")) for i in range(len(names))]
-    return both.select((sum(loss[1:], loss[0]) / len(loss)).alias("cardinality_loss"))
+    after = anonymous.agg(F.array(*(F.count_distinct(col(c)) for c in names))).scalar()
+    before = original.agg(*(F.count_distinct(col(c)).alias(f"o{i}") for i, c in enumerate(names)))
+    loss = [F.greatest(F.lit(0.0), 1 - F.get(after, F.lit(i)) / F.col(f"o{i}")) for i in range(len(names))]
+    return before.select((sum(loss[1:], loss[0]) / len(loss)).alias("cardinality_loss"))
 
 
 def equivalence_loss(original: DataFrame, anonymous: DataFrame, quasi: list[ColumnRef]) -> DataFrame:
     """1 - classes after / before."""
-    a, b = (_sizes(df, quasi).agg(F.count("*").alias(n)) for df, n in ((original, "o"), (anonymous, "a")))
-    return a.crossJoin(F.broadcast(b)).select((1 - F.col("a") / F.col("o")).alias("equivalence_loss"))
+    after = _sizes(anonymous, quasi).agg(F.count("*")).scalar()
+    return _sizes(original, quasi).agg(F.count("*").alias("o")).select((1 - after / F.col("o")).alias("equivalence_loss"))
 
 
 def hierarchical_loss(anonymous: DataFrame, hierarchies: dict[str, DataFrame]) -> DataFrame:
