@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -180,18 +181,22 @@ query("dbscan", "customer", ["c_custkey", "c_acctbal", "c_nationkey"])(lambda df
 query("agglomerative", "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])(lambda df, s, d: learn.agglomerative(2, "AVERAGE", ["s_acctbal"], ["s_nationkey"])(df))
 
 
-def _local(name: str) -> str:
-    return os.path.join(tempfile.gettempdir(), f"rillwork-{os.getpid()}-{name}")
-
-
 def _shared(spark: SparkSession, name: str) -> str:
-    """A folder that all executors see: beside the checkpoints if the cluster has such a place."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}" if base else _local(name)
+    """A folder that all executors see: beside the checkpoints, in a place of its own only where there are none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/') if base else tempfile.gettempdir()}/rillwork-{name}-{uuid.uuid4().hex}"
 
 
 query("random_forest", "lineitem", ["l_quantity", "l_discount", "l_tax", "l_linestatus"])(lambda df, s, d: learn.random_forest_train("l_linestatus", _shared(s, "forest"), folds=2, trees=[5], depths=[3])(df))
-query("model_predict", "lineitem", ["l_quantity", "l_discount", "l_tax", "l_linestatus"])(lambda df, s, d: (learn.random_forest_train("l_linestatus", _shared(s, "forest2"), folds=2, trees=[3], depths=[2])(df), learn.model_predict(_shared(s, "forest2"))(df))[1])
+
+
+@query("model_predict", "lineitem", ["l_quantity", "l_discount", "l_tax", "l_linestatus"])
+def _model_predict(df: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    path = _shared(s, "forest")
+    learn.random_forest_train("l_linestatus", path, folds=2, trees=[3], depths=[2])(df)
+    return learn.model_predict(path)(df)
+
+
 query("batch_predict", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])(lambda df, s, d: learn.batch_predict(lambda pdf: pdf.assign(score=pdf.l_quantity * 2 + 1), "l_orderkey long, l_linenumber int, l_quantity double, score double")(df))
 
 # --- privacy ---
@@ -247,10 +252,9 @@ def streamed(spark: SparkSession, d: str, table: str, plan: Callable[[DataFrame]
     Append results go to files in the shared folder; complete ones are kept from the last micro-batch."""
     source = f"{d}/{table}.parquet"
     schema = spark.read.parquet(source).schema
-    place = _shared(spark, f"stream-{table}-{abs(hash((d, mode, id(plan)))) % 10**9}-{os.urandom(4).hex()}")
-    folder = source if not source.endswith(".parquet") or os.path.isdir(source) else None
+    place = _shared(spark, f"stream-{table}")
     reader = spark.readStream.schema(schema)
-    stream_df = reader.parquet(folder) if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    stream_df = reader.parquet(source) if os.path.isdir(source) else reader.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
