@@ -113,8 +113,8 @@ def mask(line: str, host: str) -> str:
 
 def is_filler(line: str) -> bool:
     """Whether most words of a line are those of the usual filler text."""
-    found = _WORDS.findall(line[:400].lower())
-    return len(found) >= 3 and sum(w in LATIN for w in found) >= 0.7 * len(found)
+    found = _WORDS.findall(line.lower())
+    return len(found) >= 3 and sum(map(LATIN.__contains__, found)) >= 0.7 * len(found)
 
 
 def classify(line: str, host: str) -> int:
