@@ -43,16 +43,30 @@ def nearest_donors(rows: DataFrame, fields: tuple[str, ...], *, hot_rows: int =
     return wide.select("grp", "t", "rec", *fields, *(f"prev_{f}" for f in fields), *(f"next_{f}" for f in fields))
 
 
-def fill_from_similar(rows: DataFrame, fields: dict[str, str], **options: int) -> DataFrame:
+def _per_group(rows: DataFrame, field: str) -> DataFrame | None:
+    """(grp, v) if each group has one value of a field at most, else None."""
+    values = rows.where(F.col("grp").isNotNull() & F.col(field).isNotNull()).groupBy("grp", field).agg(F.count("*").alias("n"))
+    if values.groupBy("grp").count().where("count > 1").limit(1).count():
+        return None
+    return values.select(F.col("grp").alias("of"), F.col(field).cast("string").alias("constant"))
+
+
+def fill_from_similar(rows: DataFrame, fields: dict[str, str], constant: tuple[str, ...] = (), **options: int) -> DataFrame:
     """One row per missing field of `rows` (grp, t in minutes, rec and typed columns).
 
     `fields` maps columns of `rows` to the names reported. Columns: rec_id, field_name, filled (as
     text), donor_id, distance (minutes), donor_kind ('group', 'hour' or null where nothing could be
     filled: the field then stays null). Defined cases: an unknown time counts as minute 0; a null
-    group is a group of its own kind and only the hour can fill it; several donors at the same
-    distance: the previous one, and of equal times the nearest record id."""
-    rows = rows.withColumn("t", F.coalesce(F.col("t"), F.lit(0)))
+    group is a group of its own kind and only the hour can fill it; other columns are ignored; several donors at the same
+    distance: the previous one, and of equal times the nearest record id.
+
+    Fields named in `constant` are expected to have one value per group. If that holds for all groups
+    (one aggregation tells), only whether a record has the field travels with it and the value
+    is looked up per group, which is the donor's; else they are treated like the others."""
     names = tuple(fields)
+    rows = rows.select("grp", F.coalesce(F.col("t"), F.lit(0)).cast("long").alias("t"), "rec", *names)
+    looked_up = {f: table for f in constant if (table := _per_group(rows, f)) is not None}
+    whole, rows = rows, rows.withColumns({f: F.when(F.col(f).isNotNull(), F.lit(True)) for f in looked_up})
     near = nearest_donors(rows.where("grp is not null"), names, **options)
     lost = rows.where("grp is null").where(" or ".join(f"{f} is null" for f in names))
     cases = []
@@ -62,10 +76,14 @@ def fill_from_similar(rows: DataFrame, fields: dict[str, str], **options: int) -
         donor = F.when(take_next, after).otherwise(prev)
         cases.append(F.when(F.col(f).isNull(), F.struct(F.lit(name).alias("field_name"), donor["v"].cast("string").alias("filled"), donor["rec"].alias("donor_id"), F.abs(donor["t"] - F.col("t")).alias("distance"))))
     nothing = [F.when(F.col(f).isNull(), F.struct(F.lit(name).alias("field_name"), F.lit(None).cast("string").alias("filled"), F.lit(None).cast("long").alias("donor_id"), F.lit(None).cast("long").alias("distance"))) for f, name in fields.items()]
-    one = near.select(F.col("rec").alias("rec_id"), "t", F.explode(F.array_compact(F.array(*cases))).alias("c")).unionByName(lost.select(F.col("rec").alias("rec_id"), "t", F.explode(F.array_compact(F.array(*nothing))).alias("c")))
-    one = one.select("rec_id", "t", "c.*")
+    one = near.select("grp", F.col("rec").alias("rec_id"), "t", F.explode(F.array_compact(F.array(*cases))).alias("c")).unionByName(lost.select("grp", F.col("rec").alias("rec_id"), "t", F.explode(F.array_compact(F.array(*nothing))).alias("c")))
+    one = one.select("grp", "rec_id", "t", "c.*")
+    for f, table in looked_up.items():
+        mine = F.col("field_name") == fields[f]
+        joined = one.join(table, F.when(mine, F.col("grp")) == F.col("of"), "left")
+        one = joined.withColumn("filled", F.when(mine, F.when(F.col("donor_id").isNotNull(), F.col("constant"))).otherwise(F.col("filled"))).select(*one.columns)
     # records of the same hour, one donor a field: what is left without a donor in its group
-    hours = rows.groupBy(F.floor(F.col("t") / 60).alias("hour")).agg(*(F.min(_observed(f)).alias(f"any_{f}") for f in names))
+    hours = whole.groupBy(F.floor(F.col("t") / 60).alias("hour")).agg(*(F.min(_observed(f)).alias(f"any_{f}") for f in names))
     donors = hours.select("hour", F.explode(F.array(*(F.struct(F.lit(name).alias("field_name"), F.col(f"any_{f}")["v"].cast("string").alias("h_filled"), F.col(f"any_{f}")["rec"].alias("h_donor"), F.col(f"any_{f}")["t"].alias("h_t")) for f, name in fields.items()))).alias("h")).select("hour", "h.*")
     full = one.withColumn("hour", F.floor(F.col("t") / 60)).join(donors, ["hour", "field_name"], "left")
     alone = F.col("filled").isNull()

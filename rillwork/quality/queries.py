@@ -113,7 +113,7 @@ def p6_filled(spark: SparkSession, d: str) -> DataFrame:
     rules = _rules(train)
     link = rules.source("link_id")
     rows = train.select(F.coalesce("detector_id", link).alias("grp"), missing.minute_number().cast("long").alias("t"), F.col("rec_id").alias("rec"), link.alias("link"), rules.value("prcs_spd").alias("speed"), rules.value("prcs_trv_time").alias("travel"))
-    return hotdeck.fill_from_similar(rows, {"link": "link_id", "speed": "prcs_spd", "travel": "prcs_trv_time"})
+    return hotdeck.fill_from_similar(rows, {"link": "link_id", "speed": "prcs_spd", "travel": "prcs_trv_time"}, constant=("link",))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

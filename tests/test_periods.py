@@ -20,11 +20,11 @@ def at(minutes):
 def records(spark, rows):
     """(msg, sensor, type, body, minute of event, minute of arrival)"""
     full = [(m, s, k, b, None if t is None else at(t), None if a is None else at(a)) for m, s, k, b, t, a in rows]
-    return spark.createDataFrame(full, "msg_id long, sensor_id string, sensor_type int, event_body string, ts timestamp_ntz, arrived_at timestamp_ntz")
+    return spark.createDataFrame(full, "msg_id long, sensor_id string, sensor_type int, event_body string, ts timestamp_ntz, arrived_at timestamp_ntz").selectExpr("*", "1 as kind", "'y' as slice", "2.0 as chunk", "3 as late")
 
 
 def test_trailing(spark):
-    rows = spark.createDataFrame([("a", 100, 1.0), ("a", 100, 3.0), ("a", 107, None), ("a", 140, 5.0), (None, 1, 1.0), ("b", None, 1.0)], "src string, day int, value double")
+    rows = spark.createDataFrame([("a", 100, 1.0), ("a", 100, 3.0), ("a", 107, None), ("a", 140, 5.0), (None, 1, 1.0), ("b", None, 1.0)], "src string, day int, value double").selectExpr("*", "1 as on", "2 as bucket", "'x' as next_day")
     got = {r.day: r for r in trailing.trailing_totals(rows).where("src = 'a'").collect()}
     assert sorted(got) == list(range(100, 141))
     assert (got[106].readings_7, got[106].total_7, got[106].mean_7) == (2, 4.0, 2.0)
@@ -86,7 +86,7 @@ def test_grid_of_cut_sources(spark, sf):
 
 
 def fills(spark, rows, **options):
-    df = spark.createDataFrame(rows, "grp string, t long, rec long, a double, b string")
+    df = spark.createDataFrame(rows, "grp string, t long, rec long, a double, b string").selectExpr("*", "1 as slice", "2 as prev_a", "3 as filled")
     return {(r.rec_id, r.field_name): r for r in hotdeck.fill_from_similar(df, {"a": "A", "b": "B"}, **options).collect()}
 
 
@@ -102,6 +102,16 @@ def test_hotdeck(spark):
     assert fills(spark, [("g", 1, 1, None, None)])[1, "A"].filled is None
 
 
+def test_hotdeck_of_constant_fields(spark):
+    rows = [("g" if i % 3 else "h", i * 7, i, None if i % 4 == 0 else float(i), None if i % 5 == 0 else ("G" if i % 3 else "H")) for i in range(90)] + [("n", 1, 900, None, None), (None, 2, 901, 1.0, None)]
+    df = spark.createDataFrame(rows, "grp string, t long, rec long, a double, b string")
+    plain, fast = (sorted(map(str, hotdeck.fill_from_similar(df, {"a": "A", "b": "B"}, constant=c).collect())) for c in ((), ("b",)))
+    assert plain == fast
+    mixed = df.unionByName(spark.createDataFrame([("g", 3, 999, 1.0, "X")], df.schema))
+    plain, fast = (sorted(map(str, hotdeck.fill_from_similar(mixed, {"a": "A", "b": "B"}, constant=c).collect())) for c in ((), ("b",)))
+    assert plain == fast
+
+
 def test_hotdeck_of_cut_groups(spark):
     rows = [("g" if i % 3 else "h", i * 7, i, None if i % 4 == 0 else float(i), None if i % 50 else f"t{i}") for i in range(600)]
     whole, cut = fills(spark, rows), fills(spark, rows, hot_rows=100, slice_width=60)
