@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -55,17 +56,31 @@ def broadcast_join(pairs: list[tuple[str, str]], kind: str = "INNER", most_rows:
 def join_interval(key: str, time: str, within: str = "1 minutes", kind: str = "INNER") -> Op:
     """left.key = right.key and right.time <= left.time <= right.time + within; left-deep over the inputs.
 
-    The right sides' key and time are dropped. On streams, both sides need watermarks."""
+    The right sides' key and time are dropped. On streams, both sides need watermarks. In batch, inner and left
+    joins also match on time buckets as wide as `within` (a right row is copied into two), so that the
+    rows of a hot key meet only those near them."""
+    width = _seconds(within)
 
     def pair(a: DataFrame, b: DataFrame) -> DataFrame:
         clash = [c for c in b.columns if c in a.columns and c not in (key, time)]
         b = b.withColumnsRenamed({key: "__key", time: "__time"} | {c: f"{c}_right" for c in clash})
-        on = F.expr(f"`{key}` = __key and `{time}` >= __time and `{time}` <= __time + interval {within}")
-        return a.join(b, on, _KINDS[kind]).drop("__key", "__time")
+        on = f"`{key}` = __key and `{time}` >= __time and `{time}` <= __time + interval {within}"
+        if width and kind in ("INNER", "LEFT_OUTER") and not (a.isStreaming or b.isStreaming):
+            at = lambda c: F.floor(F.unix_timestamp(col(c).cast("timestamp")) / width)
+            a = a.withColumn("__near", at(time))
+            b = b.withColumn("__slot", F.explode(F.array(at("__time"), at("__time") + 1)))
+            on += " and __near = __slot"
+        return a.join(b, F.expr(on), _KINDS[kind]).drop("__key", "__time", "__near", "__slot")
 
     return lambda *dfs: reduce(pair, dfs)
 
 
+def _seconds(within: str) -> int | None:
+    """Whole seconds of texts like '5 minutes', None for other intervals."""
+    m = re.fullmatch(r"\s*(\d+)\s*(second|minute|hour|day)s?\s*", within, re.I)
+    return int(m[1]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[2].lower()] or None if m else None
+
+
 @operator("join_range")
 def join_range(key: str | None, value: str, low: str, high: str, width: float) -> Op:
     """Rows of the left whose `value` lies within [low, high] of the right (with an equal `key`, if one is given).

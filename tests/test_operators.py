@@ -165,6 +165,12 @@ def test_joins(spark):
     assert joins.merge_tables(["CONCAT"])(a, a).count() == 6
     near = joins.join_asof("k", "t", ["v"], 3)(spark.createDataFrame([(1, 5), (1, 1)], "k int, t int"), spark.createDataFrame([(1, 2, "p"), (1, 5, "q")], "k int, t int, v string"))
     assert sorted(values(near), key=str) == [(1, 1, None), (1, 5, "q")]
+    moments = spark.sql("select id % 3 as k, id, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id * 17.3) as t from range(200)")
+    other = moments.selectExpr("k", "id as o", "t")
+    for kind in ("INNER", "LEFT_OUTER"):
+        near = joins.join_interval("k", "t", "90 seconds", kind)(moments, other)
+        plain = joins.join_interval("k", "t", "1 minutes 30 seconds", kind)(moments, other)
+        assert sorted(map(str, near.collect())) == sorted(map(str, plain.collect()))
     ranged = joins.join_range(None, "t", "lo", "hi", 10)(spark.createDataFrame([(5,), (25,)], "t int"), spark.createDataFrame([(0, 30), (26, 40), (9, 1)], "lo int, hi int"))
     assert sorted(values(ranged)) == [(5, 0, 30), (25, 0, 30)]
 
