@@ -18,6 +18,10 @@ DAILY = {
       select g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from (select g from g join h using (g)) asof join d x on g >= x.day asof join (select day + 1 as day, total from d) y on g >= y.day""",
 }
 
+_ALL = "c_custkey, c_nationkey, o_orderkey, o_custkey"
+JOINS = {f"join_{n}": f"select {c} from customer {n} join orders on c_custkey = o_custkey" for n, c in {"inner": _ALL, "left": _ALL, "right": _ALL, "full": _ALL, "semi": "c_custkey, c_nationkey", "anti": "c_custkey, c_nationkey"}.items()}
+SETS = {n: f"select s_nationkey from supplier {n.replace('_', ' ')} select c_nationkey from customer" for n in ("union_all", "union", "intersect", "except")}
+
 
 def same(spark, sf, name, sql):
     con = duckdb.connect()
@@ -42,3 +46,17 @@ def test_daily_covers_all_orders_and_has_gaps(spark, sf):
     want = con.execute(f"select day, total from {_DAILY} order by 1").fetchall()
     assert [tuple(r) for r in _daily(spark, sf).orderBy("day").collect()] == want
     assert len(want) < want[-1][0] - want[0][0] + 1
+
+
+@pytest.mark.parametrize("name", [*JOINS, *SETS])
+def test_joins_and_sets(name, spark, sf):
+    same(spark, sf, name, (JOINS | SETS)[name])
+
+
+def test_outer_rows_of_joins(spark, tmp_path):
+    """Customers without orders and orders without customers, which the tables hardly have."""
+    con = duckdb.connect()
+    con.execute(f"copy (select * from (values (1, 7), (2, 8), (3, 9)) t(c_custkey, c_nationkey)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select * from (values (1, 1), (2, 1), (3, 3), (4, 5)) t(o_orderkey, o_custkey)) to '{tmp_path}/orders.parquet'")
+    con.execute(f"copy (select * from (values (4), (5)) t(s_nationkey)) to '{tmp_path}/supplier.parquet'")
+    assert {n: same(spark, tmp_path, n, q) for n, q in JOINS.items()} == {"join_inner": 3, "join_left": 4, "join_right": 4, "join_full": 5, "join_semi": 2, "join_anti": 1}
