@@ -5,10 +5,11 @@ name and template fields become fixed marks. Equal masked lines form groups by e
 each group is counted across sources. Groups are classified by placeholder and phrase rules;
 the wide recurrence of a line decides what rules alone can't: weak phrases count
 only if the same message stands on several sources, and lines that recur widely without any such
-phrase are menus and footers, not content. A document is residue if what is left of it
+phrase are menus and footers, not content. Sentences of long lines are so only if the pages they stand
+on differ in their longest sentence, as mirrored pages repeat all of theirs. A document is residue if what is left of it
 apart from menu, notice, heading and footer is mostly such messages.
 
-Scale: lines of a few words are hashed, long ones are content at once and only their length is kept.
+Scale: long lines are cut into sentences, which are masked, hashed and counted like short lines.
 Groups are combined on the map side per (hash, source), so a message on a third of all pages
 costs no more than others. Only undecided groups (weak phrases that recur) are joined back.
 """
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 from ..session import use_checkpoints
 from .texts import INVISIBLE, mended
 
-CONTENT, NEUTRAL, WEAK, STRONG, FIELD, FILLER = range(6)
+#: PROSE is a sentence of a long line.
+PROSE, CONTENT, NEUTRAL, WEAK, STRONG, FIELD, FILLER = range(-1, 6)
 KINDS = ("content", "neutral", "weak", "message", "template", "filler")
-#: Lines above this many characters are prose, unless they are filler.
+#: Lines above this many characters are paragraphs and judged sentence by sentence.
 LONG = 170
+#: Sentences above this many characters are cut between words, as no message is that long.
+LONGEST = 2_000
 
 # --- Fixed values: shapes of unfilled template fields ---
 _NAME = r"[A-Za-z][A-Za-z]*(?:[_. ][A-Za-z]+){0,3}"
@@ -98,6 +102,7 @@ EXPLAINED = re.compile("in the template|template engine|code such as|is replaced
 _MASHED = r"(?:asdf\w*|qwert?\w*|zxcv\w*|hjkl|blah|bla|x{3,9}|y{3,9}|z{3,9}|abc|foo|bar|baz|test|text)"
 MASH = re.compile(rf"^(?:{_MASHED}\W+){{2,}}{_MASHED}\W*$", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[。！？])")
 
 
 def mask(line: str, host: str) -> str:
@@ -121,21 +126,18 @@ def classify(line: str, host: str) -> int:
     """The kind of a line by its own looks."""
     if is_filler(line) or MASH.match(line):
         return FILLER
-    if len(line) > LONG:
-        return CONTENT
-    fields = FIELDS.findall(line)
     low = line.lower()
-    if fields:
-        rest = FIELDS.sub("", line)
+    if FIELDS.search(line):
         # prose that quotes a field or explains it is content
-        return CONTENT if any(c in line for c in "`“„«") or len(rest) > 110 or EXPLAINED.search(low) else FIELD
+        return CONTENT if any(c in line for c in "`“„«") or EXPLAINED.search(low) else FIELD
     site = low.replace(host, "") if host else low
     if _SEPARATED.search(line) and len(_WORDS.findall(line)) <= 40 and not STRONG_PHRASES.search(low):
         return NEUTRAL
     if NOTICES.search(low) and not re.search("javascript|script|skript|스크립트", low):
         return NEUTRAL
     if STRONG_PHRASES.search(site):
-        return CONTENT if _QUOTED.search(line) or len(_WORDS.findall(line)) > 22 else STRONG
+        # recurrence decides on long ones, as prose speaks of such things too
+        return CONTENT if _QUOTED.search(line) else WEAK if len(_WORDS.findall(line)) > 22 else STRONG
     words = _WORDS.findall(site)
     if len(words) <= 12 and WEAK_PHRASES.search(site) and not _QUOTED.search(line):
         return WEAK
@@ -144,35 +146,62 @@ def classify(line: str, host: str) -> int:
     return CONTENT
 
 
+def pieces(line: str) -> list[str]:
+    """The line itself, or the sentences of a long one."""
+    if len(line) <= LONG:
+        return [line]
+    out = []
+    for part in _SENTENCE.split(line):
+        while len(part) > LONGEST:
+            at = part.rfind(" ", 1, LONGEST) + 1 or LONGEST
+            out.append(part[:at])
+            part = part[at:]
+        out.append(part)
+    return [p for p in map(str.strip, out) if p]
+
+
+def in_paragraph(parts: list[str], kinds: list[int], explained: bool) -> list[int]:
+    """Kinds of a long line's sentences: what explains templates is prose, and a message is one by its own looks
+    only if messages make up half of the line; else recurrence decides, as prose speaks of such things too."""
+    total = sum(map(len, parts))
+    few = 2 * sum(len(p) for p, k in zip(parts, kinds, strict=True) if k == STRONG) < total
+    return [PROSE if k in (CONTENT, NEUTRAL) or k == FIELD and explained else WEAK if k == STRONG and few else k for k in kinds]
+
+
 _LINE = pa.struct([("h", pa.int64()), ("chars", pa.int32()), ("kind", pa.int8())])
-_DOC = "doc_id long, source string, content_chars int, lines array<struct<h:bigint,chars:int,kind:tinyint>>"
+_DOC = "doc_id long, source string, page long, lines array<struct<h:bigint,chars:int,kind:tinyint>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, sources = batch.column(0), batch.column(1).to_pylist()
-        chars, lines = [], []
+        pages, lines = [], []
         for text, raw, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), sources, strict=True):
             text, host = mended(text, raw), (host or "").lower()
-            long, short, head = 0, [], True
+            made, head = [], True
+            longest = page = 0
             for line in text.split("\n"):
                 line = line.strip()
                 if line and not line.isascii():
                     line = INVISIBLE.sub("", line)
                 if not line:
                     continue
-                kind = classify(line, host)
-                if head and kind == CONTENT and len(line) <= 80:
-                    kind = NEUTRAL  # the heading
-                if kind != NEUTRAL:
-                    head = False
-                if kind == CONTENT and len(line) > LONG:
-                    long += len(line)
-                else:
-                    short.append({"h": xxhash.xxh64_intdigest(mask(line, host)) - 2**63, "chars": len(line), "kind": kind})
-            chars.append(long)
-            lines.append(short)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(chars, pa.int32()), pa.array(lines, pa.list_(_LINE))], names=["doc_id", "source", "content_chars", "lines"])
+                explained = len(line) > LONG and EXPLAINED.search(line.lower())
+                parts = pieces(line)
+                kinds = [classify(part, host) for part in parts]
+                if len(line) > LONG:
+                    kinds = in_paragraph(parts, kinds, bool(explained))
+                for part, kind in zip(parts, kinds, strict=True):
+                    if head and kind == CONTENT and len(part) <= 80:
+                        kind = NEUTRAL  # the heading
+                    if kind != NEUTRAL:
+                        head = False
+                    made.append({"h": xxhash.xxh64_intdigest(mask(part, host)) - 2**63, "chars": len(part), "kind": kind})
+                    if kind == PROSE and len(part) > longest:
+                        longest, page = len(part), made[-1]["h"]
+            pages.append(page)
+            lines.append(made)
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(pages, pa.int64()), pa.array(lines, pa.list_(_LINE))], names=["doc_id", "source", "page", "lines"])
 
 
 def judge_residue(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", raw_col: str | None = "raw_bytes", share: float = 0.5, template_share: float = 0.25, wide: int = 3) -> DataFrame:
@@ -188,19 +217,22 @@ def judge_residue(docs: DataFrame, *, id_col: str = "doc_id", source_col: str =
     raw = F.when(broken, F.col(raw_col)) if raw_col else F.lit(None).cast("binary")
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), raw.alias("raw")).mapInArrow(_cut, _DOC)
     cut = cut.withColumn("row", F.monotonically_increasing_id()).checkpoint()
-    flat = cut.select("source", F.explode("lines").alias("l")).select("source", "l.h", "l.kind")
-    groups = flat.where(F.col("kind").isin(WEAK, CONTENT)).groupBy("h", "source").agg(F.max("kind").alias("kind")).groupBy("h").agg(F.count("*").alias("sources"), F.max("kind").alias("g_kind"))
-    recurring = groups.where(F.col("sources") >= wide).select("h", "g_kind")
+    flat = cut.select("source", "page", F.explode("lines").alias("l")).select("source", "page", "l.h", "l.kind")
+    groups = flat.where(F.col("kind").isin(WEAK, CONTENT)).groupBy("h", "source").agg(F.max("kind").alias("kind")).groupBy("h").agg(F.count("*").alias("n"), F.max("kind").alias("g_kind")).where(F.col("n") >= wide)
+    # a sentence must stand on pages that differ, and on more than one source
+    prose = flat.where(F.col("kind") == PROSE).groupBy("h", "page").agg(F.min("source").alias("low"), F.max("source").alias("high")).groupBy("h").agg(F.count("*").alias("n"), (F.min("low") < F.max("high")).alias("apart")).where((F.col("n") >= wide) & F.col("apart"))
+    recurring = groups.select("h", "g_kind", F.lit(False).alias("prose")).unionByName(prose.select("h", F.lit(PROSE).cast("tinyint").alias("g_kind"), F.lit(True).alias("prose")))
     # only documents with some sign of residue can be residue
     sign = F.exists("lines", lambda x: x["kind"] >= WEAK)
     suspects = cut.where(sign)
-    lines = suspects.select("row", F.explode("lines").alias("l")).select("row", "l.h", "l.chars", "l.kind")
-    undecided = F.col("kind").isin(WEAK, CONTENT)
+    lines = suspects.select("row", F.explode("lines").alias("l")).select("row", "l.h", "l.chars", "l.kind", (F.col("l.kind") == PROSE).alias("prose"))
+    undecided = F.col("kind").isin(WEAK, CONTENT, PROSE)
     decided = lines.where(~undecided).select("row", "chars", "kind")
-    joined = lines.where(undecided).join(recurring, "h", "left").select("row", "chars", F.when(F.col("g_kind").isNull(), F.col("kind")).when(F.col("kind") == WEAK, F.lit(STRONG)).otherwise(F.lit(NEUTRAL)).cast("tinyint").alias("kind"))
+    joined = lines.where(undecided).join(recurring, ["h", "prose"], "left").select("row", "chars", F.when(F.col("g_kind").isNull(), F.col("kind")).when(F.col("kind") == WEAK, F.lit(STRONG)).otherwise(F.lit(NEUTRAL)).cast("tinyint").alias("kind"))
     chars = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("chars"))), F.lit(0))
-    sums = decided.unionByName(joined).groupBy("row").agg(chars(STRONG).alias("message"), chars(FIELD).alias("template"), chars(FILLER).alias("filler"), chars(WEAK).alias("weak"), chars(CONTENT).alias("content"))
-    full = cut.select("row", "doc_id", "source", "content_chars").join(sums, "row", "left").fillna(0)
+    sums = decided.unionByName(joined).groupBy("row").agg(chars(STRONG).alias("message"), chars(FIELD).alias("template"), chars(FILLER).alias("filler"), chars(WEAK).alias("weak"), chars(CONTENT, PROSE).alias("content"))
+    own = F.aggregate("lines", F.lit(0), lambda n, x: n + F.when(x["kind"].isin(CONTENT, PROSE), x["chars"]).otherwise(0))
+    full = cut.select("row", "doc_id", "source", F.when(~sign, own).otherwise(0).alias("content_chars")).join(sums, "row", "left").fillna(0)
     residue = F.col("message") + F.col("template") + F.col("filler")
     # weak phrases that recur nowhere speak for residue only beside clear ones
     all_content = F.col("content_chars") + F.col("content")

@@ -54,3 +54,23 @@ def test_odd_rows(spark):
 def test_masks():
     assert residue.mask("Error 404 at /a/b.html on 2024-01-02, see www.x.example or a@b.de", "www.x.example") == residue.mask("Error 500 at /c on 2023-11-12, see y.example or q@r.org", "y.example")
     assert residue.mask("Dear {{ name }}, x", "") == residue.mask("Dear <%= city %>, x", "")
+
+
+APACHE = "The server encountered an internal error or misconfiguration and was unable to complete your request. Please contact the administrator to inform them of the time. More information about this error may be available in the server error log."
+FORM = "Dear {{ name }}, we thank you for the order that you have sent to our house in {{ city }} and hope that the goods reach you well. Our people of {{ shop }} will write to you as soon as the parcel is on its way to the harbour."
+
+
+def test_long_lines_are_judged_by_sentence(spark):
+    article = " ".join(f"{PROSE} Sentence {c * 5} tells what the council of the town did." for c in "abcd")
+    got = judged(spark, [(1, "a.example", APACHE, None), (2, "b.example", FORM, None), (3, "c.example", f"{PROSE} {PROSE} They read that the page was not found. {PROSE}", None)] + [(10 + i, f"m{i}.example", f"{article}\nPlease enable JavaScript to comment on this long page of ours.", None) for i in range(4)])
+    assert min(len(APACHE), len(FORM)) > residue.LONG
+    assert {i for i, r in got.items() if r.is_residue} == {1, 2}
+    assert got[2].kind == "template"
+
+
+def test_paragraphs_that_recur_on_different_pages_are_no_content(spark):
+    notice = "This house keeps the addresses of its guests for thirty days and then throws them away. Whoever does not like this may write a letter to the office of the house, which is open on all days."
+    message = "Internal server error, please be patient and come back in a while."
+    words = "oak elm ash fir".split()
+    got = judged(spark, [(i, f"s{i}.example", f"{message}\n{notice} {w.title()} trees were planted along the whole of the long road that leads from the house to the harbour and back.", None) for i, w in enumerate(words)])
+    assert {r.content_chars for r in got.values()} == {len("Oak trees were planted along the whole of the long road that leads from the house to the harbour and back.")}
