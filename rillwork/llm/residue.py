@@ -193,7 +193,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kinds = in_paragraph(parts, kinds, bool(explained))
                 for part, kind in zip(parts, kinds, strict=True):
                     if head and kind == CONTENT and len(part) <= 80:
-                        kind = NEUTRAL  # the heading
+                        kind, head = NEUTRAL, False  # the heading
                     if kind != NEUTRAL:
                         head = False
                     made.append({"h": xxhash.xxh64_intdigest(mask(part, host)) - 2**63, "chars": len(part), "kind": kind})

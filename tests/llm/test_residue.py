@@ -1,5 +1,7 @@
 """Residue: kinds of pages, recurrence across sources, and odd rows."""
 
+import pyarrow as pa
+
 from rillwork.llm import residue
 
 PROSE = "In 1876, the council of the town repaired the heavy bridge and finally examined the 565 granaries of the harbour, which took them three weeks and more money than planned."
@@ -74,3 +76,10 @@ def test_paragraphs_that_recur_on_different_pages_are_no_content(spark):
     words = "oak elm ash fir".split()
     got = judged(spark, [(i, f"s{i}.example", f"{message}\n{notice} {w.title()} trees were planted along the whole of the long road that leads from the house to the harbour and back.", None) for i, w in enumerate(words)])
     assert {r.content_chars for r in got.values()} == {len("Oak trees were planted along the whole of the long road that leads from the house to the harbour and back.")}
+
+
+def test_only_the_first_short_line_is_a_heading():
+    verse = ["The river runs below the hill.", "The miller sleeps beside the wheel.", "The geese come over in the night."]
+    row = [pa.array([1]), pa.array(["a.example"]), pa.array(["\n".join([*verse, "Please enable JavaScript to comment"])]), pa.array([None], pa.binary())]
+    (made,) = residue._cut(iter([pa.RecordBatch.from_arrays(row, names=["doc_id", "source", "text", "raw"])]))
+    assert [x["kind"] for x in made.column(3)[0].as_py()] == [residue.NEUTRAL, residue.CONTENT, residue.CONTENT, residue.STRONG]
