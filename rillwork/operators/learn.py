@@ -168,6 +168,8 @@ def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[Colu
             if not moved.join(label.withColumnRenamed("l", "o"), "a").where("l < o").limit(1).count():
                 break
             label = moved
+        else:
+            raise ValidationError(f"labels still move after {max_rounds} rounds")
         reach = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("near")).join(label, "a", "left").select(F.col("a").alias("p"), F.coalesce("l", "near").alias("l"))
         from .project import numbered
 

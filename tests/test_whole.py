@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rillwork.errors import ValidationError
+from rillwork.operators import learn
 from rillwork.plans.queries import _daily
 
 QUERIES = entry.queries()
@@ -60,3 +62,9 @@ def test_outer_rows_of_joins(spark, tmp_path):
     con.execute(f"copy (select * from (values (1, 1), (2, 1), (3, 3), (4, 5)) t(o_orderkey, o_custkey)) to '{tmp_path}/orders.parquet'")
     con.execute(f"copy (select * from (values (4), (5)) t(s_nationkey)) to '{tmp_path}/supplier.parquet'")
     assert {n: same(spark, tmp_path, n, q) for n, q in JOINS.items()} == {"join_inner": 3, "join_left": 4, "join_right": 4, "join_full": 5, "join_semi": 2, "join_anti": 1}
+
+
+def test_dbscan_refuses_to_stop_early(spark):
+    chain = spark.createDataFrame([(i, float(i)) for i in range(9)], "id int, x double")
+    with pytest.raises(ValidationError):
+        learn.dbscan(1.0, 2, "id", max_rounds=1)(chain)
