@@ -105,7 +105,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _gridded(spark, d).withColumn("value", F.round("value", 6))
+    return _gridded(spark, d).withColumn("value", F.round(F.col("value") + EPS, 6))
 
 
 def p6_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def _runs(field: str) -> str:
 
 
 _USABLE = """
-  select s.*, k.kind, c.step_size, regexp_extract(c.watermark_delay, '([0-9]+)', 1)::bigint * case when c.watermark_delay like '%minute%' then 60 when c.watermark_delay like '%hour%' then 3600 else 1 end as delay_s,
+  select s.*, k.kind, c.step_size, c.method_option, regexp_extract(c.watermark_delay, '([0-9]+)', 1)::bigint * case when c.watermark_delay like '%minute%' then 60 when c.watermark_delay like '%hour%' then 3600 else 1 end as delay_s,
     regexp_extract(c.window_length, '([0-9]+)', 1)::bigint * case when c.window_length like '%minute%' then 60 when c.window_length like '%hour%' then 3600 else 1 end as window_s, epoch_us(ts) as ts_us, epoch_us(arrived_at) as arr_us,
     try_cast(coalesce(case when event_body like '{%' then json_extract_string(event_body, '$.val') end, event_body) as double) as v
   from sensor_stream s join (select sensor_id, max(sensor_type) as kind from sensor_stream where ts <= arrived_at group by 1) k using (sensor_id) left join pipe_conf c on c.sensor_type = k.kind
@@ -202,6 +202,18 @@ def oracle_sql() -> dict[str, str]:
           select line_id from f where fields is null or len(fields) <> k union select line_id from b""",
         "p5_found": f"""with u as (select sensor_id, ts_us, step_size as w, lead(ts_us) over (partition by sensor_id order by ts_us, msg_id) as nxt from ({_USABLE}) where step_size > 0)
           select sensor_id, cast(unnest(generate_series(cast(floor(ts_us / 1000000 / w) as bigint) * w + w, cast(floor(nxt / 1000000 / w) as bigint) * w - w, w)) as bigint) as slot_epoch from u where nxt - ts_us <= 86400000000""",
+        "p5_grid": f"""with u as (select sensor_id, msg_id, ts_us, v, step_size::bigint * 1000000 as w, method_option, cast(floor(ts_us / 1000000 / step_size) as bigint) * step_size * 1000000 as slot from ({_USABLE}) where step_size > 0),
+          c as (select sensor_id, slot, w, method_option, count(*) as n, count(v) as k, avg(v) as mean, min(ts_us) as t0, max(ts_us) as t1 from u group by all),
+          s as (select *, coalesce(t0 - lag(t1) over o <= 86400000000, false) as tied_back, coalesce(lead(t0) over o - t1 <= 86400000000, false) as tied_on, lead(slot) over o as nxt from c window o as (partition by sensor_id order by slot)),
+          g as (select *, unnest(range(slot, case when tied_on then nxt else slot + 1 end, w)) as gt from s),
+          lo as (select sensor_id, ts_us, arg_max(v, msg_id) as v from u where v is not null group by all), hi as (select sensor_id, ts_us, arg_min(v, msg_id) as v from u where v is not null group by all),
+          a as (select g.*, lo.ts_us as pt, lo.v as pv from g asof left join lo on g.sensor_id = lo.sensor_id and g.gt > lo.ts_us),
+          b as (select a.*, hi.ts_us as qt, hi.v as qv from a asof left join hi on a.sensor_id = hi.sensor_id and a.gt <= hi.ts_us),
+          f as (select *, coalesce((gt > slot or tied_back) and gt - pt <= 86400000000, false) as bef, coalesce(tied_on and qt - gt <= 86400000000 + w, false) as aft from b)
+          select sensor_id, gt // 1000000 as slot_epoch, case when gt = slot then n else 0 end as n_records, coalesce(method_option, '') as method,
+            case when gt = slot and k > 0 then 'observed' when value is null then 'marked' else 'filled' end as status, round(value + 1e-9, 6) as value
+          from (select *, case when gt = slot and k > 0 then mean when method_option = 'LINEAR' and bef and aft and qt - pt <= 86400000000 then pv + (qv - pv) * (gt - pt) / (qt - pt)
+            when method_option = 'NEAREST' then case when bef and (not aft or gt - pt <= qt - gt) then pv when aft then qv end when method_option = 'PREVIOUS' and bef then pv end as value from f)""",
         "p6_found": f"""with t as ({_TRAIN}) select rec_id, 'link_id' as field_name from t where link is null union all select rec_id, 'prcs_spd' from t where spd is null union all select rec_id, 'prcs_trv_time' from t where trv is null""",
         "p6_filled": "with t as (" + _TRAIN + "), o as (" + " union all ".join(f"select '{n}' as field_name, coalesce(detector_id, link) as grp, minute, rec_id, cast({f} as varchar) as val from t where {f} is not null" for f, n in (("link", "link_id"), ("spd", "prcs_spd"), ("trv", "prcs_trv_time"))) + "), m as (" + " union all ".join(donors(f, n) for f, n in (("link", "link_id"), ("spd", "prcs_spd"), ("trv", "prcs_trv_time"))) + """),
           p as (select m.rec_id, m.field_name, arg_max(o.val, (o.minute, o.rec_id)) as v, arg_max(o.rec_id, (o.minute, o.rec_id)) as r, m.minute - max(o.minute) as dist from m join o on m.grp = o.grp and m.field_name = o.field_name and (o.minute, o.rec_id) < (m.minute, m.rec_id) group by m.rec_id, m.field_name, m.minute),

@@ -79,12 +79,68 @@ def test_grid_of_cut_sources(spark, sf):
     from rillwork.quality import queries as q
 
     r, c = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("sensor_stream", "pipe_conf"))
-    whole = regrid.regular_grid(r, c).withColumn("value", F.round("value", 6))
-    cut = regrid.regular_grid(r, c, hot_rows=100, halo=60).withColumn("value", F.round("value", 6))
-    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    whole = regrid.regular_grid(r, c, chunk_steps=10**9).withColumn("value", F.round("value", 6))
+    for options in ({"chunk_steps": 3}, {"chunk_steps": 1}, {"small": 1}):
+        cut = regrid.regular_grid(r, c, **options).withColumn("value", F.round("value", 6))
+        assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
     assert q.p5_found(spark, sf).count() == whole.where("n_records = 0").count()
 
 
+def test_grid_of_full_steps_and_far_neighbours(spark):
+    # four steps of 900 records, most of them unreadable, sixteen seconds apart
+    rows = [(i, "s", 2, str(i) if i % 900 == 0 else "x", i * 16 / 60, 2000) for i in range(3600)]
+    conf_ = conf(spark).withColumn("step_size", F.lit(4 * 3600))
+    for chunk_steps in (1, 2, 4096):
+        got = regrid.regular_grid(records(spark, rows), conf_, chunk_steps=chunk_steps).orderBy("slot_epoch").collect()
+        assert [(r.n_records, r.value) for r in got] == [(900, 0.0), (900, 900.0), (900, 1800.0), (900, 2700.0)]
+    # a reading that is a thousand unreadable records away still fills
+    rows = [(0, "l", 1, "1", 0, 1)] + [(i, "l", 1, None, i / 4, 2000) for i in range(1, 4000)] + [(5000, "l", 1, "1001", 1000, 2000)]
+    for chunk_steps in (1, 7, 4096):
+        got = regrid.regular_grid(records(spark, rows), conf(spark), chunk_steps=chunk_steps).orderBy("slot_epoch").collect()
+        assert [r.value for r in got] == [float(i + 1) for i in range(1001)]
+        assert {r.status for r in got[1:-1]} == {"filled"}
+
+
+def test_grid_is_that_of_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(5), []
+    for m in range(400):
+        s = rng.choice("abc")
+        rows.append((m, s, 1 + "abc".index(s), rng.choice(["1", "2.5", "7", "x", None]), round(rng.random() * 400) + (3000 if rng.random() < 0.5 else 0), 9000))
+    gap = 30 * 60
+    got = {k: (r.value, r.n_records, r.status) for k, r in grid(spark, rows, gap_seconds=gap, chunk_steps=5).items()}
+    settings = {s: (c[3] // 60, c[4]) for s, c in zip("abc", CONF, strict=True)}
+    want = {}
+    for s, (step, method) in settings.items():
+        mine = sorted((t, m, None if b in (None, "x") else float(b)) for m, q, _, b, t, _ in rows if q == s)
+        spans, span = [], []
+        for r in mine:
+            if span and r[0] - span[-1][0] > gap / 60:
+                spans.append(span)
+                span = []
+            span.append(r)
+        for span in [*spans, span]:
+            for at_ in range(span[0][0] // step * step, span[-1][0] + 1, step):
+                inside = [r for r in span if at_ <= r[0] < at_ + step]
+                vals = [r[2] for r in inside if r[2] is not None]
+                value = sum(vals) / len(vals) if vals else None
+                if not vals:
+                    p = max((r for r in span if r[0] < at_ and r[2] is not None and at_ - r[0] <= gap / 60), default=None)
+                    q = min((r for r in span if r[0] >= at_ and r[2] is not None and r[0] - at_ <= gap / 60 + step), default=None)
+                    if method == "LINEAR" and p and q and q[0] - p[0] <= gap / 60:
+                        value = p[2] + (q[2] - p[2]) * (at_ - p[0]) / (q[0] - p[0])
+                    elif method == "NEAREST" and (p or q):
+                        value = p[2] if p and (not q or at_ - p[0] <= q[0] - at_) else q[2]
+                    elif method == "PREVIOUS" and p:
+                        value = p[2]
+                status = "observed" if vals else "marked" if value is None else "filled"
+                want[s, at_] = (value, len(inside), status)
+    assert got.keys() == want.keys()
+    for k, (v, n, st) in want.items():
+        assert (got[k][1], got[k][2]) == (n, st) and (v is None) == (got[k][0] is None) and (v is None or abs(v - got[k][0]) < 1e-9), k
+
+
 def fills(spark, rows, **options):
     df = spark.createDataFrame(rows, "grp string, t long, rec long, a double, b string").selectExpr("*", "1 as slice", "2 as prev_a", "3 as filled")
     return {(r.rec_id, r.field_name): r for r in hotdeck.fill_from_similar(df, {"a": "A", "b": "B"}, **options).collect()}
