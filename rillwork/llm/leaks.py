@@ -1,15 +1,15 @@
 """Test items that leaked into a corpus, wholly or in part.
 
-Pigeonhole edit matching on words. Each item is split into pieces of four words. Whatever
-keeps enough of an item must keep some pieces untouched: a run of 20 of its words holds at least
-four whole pieces, and passages of eight or more words that make up half of it hold at least
-one piece per ten words. So with `n` pieces and `need` of them required, n - need pieces may be
-damaged, and no leak escapes. One pass over each text with an automaton finds all exact piece
-hits; pairs of document and item with enough of them are verified with Myers' bit-parallel edit
-distance on the hit's surroundings, and then measured exactly.
-
-No shuffle: documents stay where they are read, the items travel. More items than `block` are
-handled in further passes, so the items need no limit.
+Pigeonhole edit matching on words. A leak may be a part of an item only, so the error budget belongs
+to a passage: each eight successive words of an item may have BUDGET word edits and are split
+into BUDGET + 1 pieces of four words, one of which must stand in the text unchanged. One pass over
+each text with an automaton finds all exact hits of such pieces at any offset; a passage around a hit is
+verified with Myers' bit-parallel edit distance, which rejects chance hits and accepts edited copies.
+Verified passages are then measured twice: as they are (exact runs), and with their edits.
+
+Scale: documents stay where they are read, the items travel to them: no shuffle. Items beyond
+`block` (or `most_chars` characters) can't travel; then pieces are hashed and joined, and only documents
+that share a piece with an item meet it. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -19,19 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .texts import mended, words
 
-PIECE, PASSAGE, RUN, SHARE = 4, 8, 20, 0.5
-SCHEMA = "doc_id long, item_id long, distance int, longest_run int, covered_words int, item_words int"
-
-
-def pieces_needed(n_words: int) -> int:
-    """Pieces that any leak of an item of so many words leaves whole (see the module's text)."""
-    whole_run = (RUN - (PIECE - 1)) // PIECE
-    return max(1, min(whole_run, -(-n_words // 24)))
+PASSAGE, RUN, SHARE = 8, 20, 0.5
+#: Word edits a passage may have, and the words of each of its BUDGET + 1 pieces.
+BUDGET = 1
+PIECE = PASSAGE // (BUDGET + 1)
+SCHEMA = "doc_id long, item_id long, distance int, longest_run int, covered_words int, near_run int, near_words int, item_words int, leaked boolean"
+Items = tuple[tuple[int, tuple[str, ...]], ...]
 
 
 def masks(pattern: list[str]) -> dict[str, int]:
@@ -65,23 +64,42 @@ def myers_distance(peq: dict[str, int], m: int, text: list[str]) -> int:
     return best
 
 
+class _Matcher:
+    """Pieces of items at all offsets, and the masks of their passages as they are asked for."""
+
+    def __init__(self, items: Items):
+        import ahocorasick
+
+        self.items = items
+        self.automaton = ahocorasick.Automaton()
+        at: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, w) in enumerate(items):
+            for o in range(len(w) - PIECE + 1):
+                at.setdefault(" " + " ".join(w[o : o + PIECE]) + " ", []).append((k, o))
+        for key, places in at.items():
+            self.automaton.add_word(key, places)
+        self.automaton.make_automaton()
+        self.any = bool(at)
+        self.seen: dict[tuple[int, int], dict[str, int]] = {}
+
+    def passage(self, k: int, start: int) -> dict[str, int]:
+        made = self.seen.get((k, start))
+        if made is None:
+            made = self.seen[k, start] = masks(list(self.items[k][1][start : start + PASSAGE]))
+        return made
+
+    def verified(self, k: int, start: int, doc: list[str], p: int) -> bool:
+        """Whether the passage stands at about position p of the text, with at most BUDGET edits."""
+        return myers_distance(self.passage(k, start), PASSAGE, doc[max(0, p - BUDGET) : p + PASSAGE + BUDGET]) <= BUDGET
+
+
 @lru_cache(maxsize=2)
-def _matcher(items: tuple[tuple[int, tuple[str, ...]], ...]):
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    at: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, w) in enumerate(items):
-        for o in range(0, len(w) - PIECE + 1, PIECE):
-            at.setdefault(" " + " ".join(w[o : o + PIECE]) + " ", []).append((k, o))
-    for key, places in at.items():
-        automaton.add_word(key, places)
-    automaton.make_automaton()
-    return automaton, [masks(list(w)) for _, w in items], [pieces_needed(len(w)) for _, w in items], bool(at)
-
-
-def _runs(doc: list[str], item: tuple[str, ...], hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal equal runs (start in the item, length) through the hits (position in the text, offset in the item)."""
+def _matcher(items: Items) -> _Matcher:
+    return _Matcher(items)
+
+
+def _runs(doc: list[str], item: tuple[str, ...], hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Maximal equal runs (start in the item, length, shift to the text) through the hits (position in the text, offset in the item)."""
     seen: dict[int, int] = {}
     out = []
     for p, o in sorted(hits):
@@ -94,84 +112,151 @@ def _runs(doc: list[str], item: tuple[str, ...], hits: list[tuple[int, int]]) ->
         while b < len(doc) and j < len(item) and doc[b] == item[j]:
             b, j = b + 1, j + 1
         seen[p - o] = b
-        out.append((i, j - i))
+        out.append((i, j - i, a - i))
     return out
 
 
-def examine(doc: list[str], items: tuple[tuple[int, tuple[str, ...]], ...]) -> list[tuple[int, int, int, int, int]]:
-    """(index of item, distance, longest run, covered words, item words) of the items that leaked into a text."""
-    automaton, peqs, needed, any_piece = _matcher(items)
-    if not any_piece or len(doc) < PASSAGE:
+def _passages(matcher: _Matcher, k: int, doc: list[str], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(shift, first word, end) of the item's stretches that verified passages make up."""
+    m, found = len(matcher.items[k][1]), []
+    for i, n, shift in runs:
+        if n >= PASSAGE:
+            found.append((shift, i, i + n))
+        # passages that reach beyond the run and keep one piece of it
+        starts = {o - d for o in range(i, i + n - PIECE + 1) for d in range(0, PASSAGE, PIECE)}
+        found += [(shift, w, w + PASSAGE) for w in starts if 0 <= w <= m - PASSAGE and not i <= w <= i + n - PASSAGE and matcher.verified(k, w, doc, w + shift)]
+    out: list[list[int]] = []
+    for shift, a, b in sorted(found, key=lambda x: x[1]):
+        for s in out:  # an edit may shift what follows by one word
+            if abs(s[0] - shift) <= BUDGET and a <= s[2]:
+                s[0], s[2] = shift, max(s[2], b)
+                break
+        else:
+            out.append([shift, a, b])
+    return [tuple(s) for s in out]
+
+
+def examine(doc: list[str], items: Items) -> list[tuple]:
+    """(index of item, distance, longest run, covered words, longest near run, near words, item words, leaked) of
+    the items of which the text holds enough, as they are or with edits."""
+    matcher = _matcher(items)
+    if not matcher.any or len(doc) < PASSAGE - BUDGET:
         return []
     text = " " + " ".join(doc) + " "
     found: dict[int, list[tuple[int, int]]] = {}
-    for end, places in automaton.iter(text):
+    for end, places in matcher.automaton.iter(text):
         for k, o in places:
             found.setdefault(k, []).append((end, o))
     if not found:
         return []
-    spaces, out = None, []
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+    out = []
     for k, hits in found.items():
-        if len(hits) < needed[k] or len({o for _, o in hits}) < needed[k]:
-            continue
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
         item = items[k][1]
         m = len(item)
         ends = np.searchsorted(spaces, [e for e, _ in hits])
         places = [(int(e) - PIECE, o) for e, (_, o) in zip(ends, hits, strict=True)]
-        # stretches of the text around hits; those that touch are one
-        spans: list[list[int]] = []
-        for p, o in sorted(places):
-            a, b = max(0, p - o - PASSAGE), min(len(doc), p + m - o + PASSAGE)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        distance = min(myers_distance(peqs[k], m, doc[a:b]) for a, b in spans)
-        if distance > m - PASSAGE:  # not even one passage is left
-            continue
-        runs = [r for r in _runs(doc, item, places) if r[1] >= PASSAGE]
-        if not runs:
+        runs = _runs(doc, item, places)
+        near = _passages(matcher, k, doc, runs)
+        if not near:
             continue
-        covered = np.zeros(m, bool)
-        for i, n in runs:
-            covered[i : i + n] = True
-        longest, total = max(n for _, n in runs), int(covered.sum())
-        if longest >= RUN or total >= SHARE * m:
-            out.append((k, distance, longest, total, m))
+        exact, edited = np.zeros(m, bool), np.zeros(m, bool)
+        longest = max((n for _, n, _ in runs if n >= PASSAGE), default=0)
+        for i, n, _ in runs:
+            if n >= PASSAGE:
+                exact[i : i + n] = True
+        for _, a, b in near:
+            edited[a:b] = True
+        covered, close, close_run = int(exact.sum()), int(edited.sum()), max(b - a for _, a, b in near)
+        leaked = longest >= RUN or covered >= SHARE * m
+        if leaked or close_run >= RUN or close >= SHARE * m:
+            spans: list[list[int]] = []
+            for p, o in sorted(places):
+                a, b = max(0, p - o - PASSAGE), min(len(doc), p + m - o + PASSAGE)
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], b)
+                else:
+                    spans.append([a, b])
+            peq = masks(list(item))
+            distance = min(myers_distance(peq, m, doc[a:b]) for a, b in spans)
+            out.append((k, distance, longest, covered, close_run, close, m, leaked))
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", raw_col: str | None = "raw_bytes", item_id: str = "item_id", item_text: str = "item_text", block: int = 20_000) -> DataFrame:
-    """One row per document and item that leaked into it: at least 20 successive words of the item, or at
-    least half of its words in passages of eight or more. Columns as SCHEMA; `distance` is the least
-    word edit distance between the item and any stretch of the text.
+_TYPES = (pa.int64(), pa.int64(), *(pa.int32(),) * 6, pa.bool_())
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+
+
+def _scan(items: Items):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text:
+                    rows += [(doc_id, items[k][0], *rest) for k, *rest in examine(words(mended(text, raw)), items)]
+            yield _batch(rows)
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, raw) to (key, hash of a piece), each once per text."""
+    for batch in batches:
+        keys, pieces = [], []
+        for key, text, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w = words(mended(text, raw))
+            mine = {xxhash.xxh64_intdigest(" ".join(w[i : i + PIECE])) - 2**63 for i in range(len(w) - PIECE + 1)}
+            keys += [key] * len(mine)
+            pieces += mine
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.int64())], names=["key", "piece"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (doc_id, text, raw, item_id, item_text), those of one document together."""
+    of, doc = None, []
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc_id, text, raw, item, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if text != of:
+                of, doc = text, words(mended(text, raw))
+            rows += [(doc_id, item, *rest) for _, *rest in examine(doc, ((item, tuple(words(item_text))),))]
+        yield _batch(rows)
+
+
+def _joined(table: DataFrame, items: DataFrame) -> DataFrame:
+    """The same pairs by a join of piece hashes. Keys are hashes too: texts that share one are only compared in vain."""
+    docs = table.where("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    wanted = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
+    nothing = F.lit(None).cast("binary")
+    theirs = wanted.select("item_key", "item_text", nothing).mapInArrow(_pieces, "key long, piece long").withColumnRenamed("key", "item_key")
+    mine = docs.select("key", "text", "raw").mapInArrow(_pieces, "key long, piece long")
+    pairs = mine.join(theirs, "piece").select("key", "item_key").distinct()
+    full = docs.join(pairs, "key").join(wanted, "item_key").select("key", "doc_id", "text", "raw", "item_id", "item_text")
+    return full.sortWithinPartitions("key").select("doc_id", "text", "raw", "item_id", "item_text").mapInArrow(_verify, SCHEMA)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", raw_col: str | None = "raw_bytes", item_id: str = "item_id", item_text: str = "item_text", block: int = 5_000, most_chars: int = 10_000_000) -> DataFrame:
+    """One row per document and item of which the document holds a good part. Columns as SCHEMA.
+
+    `leaked`: at least 20 successive words of the item, or at least half of its words in passages of eight
+    or more, stand in the text as they are (`longest_run`, `covered_words`). `near_run` and `near_words`
+    tell the same of passages in which one word of eight may be edited; rows are given for these too.
+    `distance` is the least word edit distance between the item and any stretch of the text.
 
     Defined cases: null or empty texts hold nothing; items of fewer than eight words can't leak by this
     rule; repeated item ids are examined as one item each, mirrored documents are cases of their own. If
     `raw_col` is given, texts with broken characters are decoded anew from it."""
-    chosen = [(int(r[0]), tuple(words(r[1]))) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).collect()]
-    chosen = list(dict.fromkeys((i, w) for i, w in chosen if len(w) >= PASSAGE))
     suspicious = F.col(text_col).rlike("[\\uFFFD\\u0080-\\u00BF]|[\\u00C0-\\u00F4][\\u0080-\\u00BF\\u0152-\\u0178\\u02C6-\\u203A\\u20AC\\u2122]|\\p{L}\\?\\p{L}")
     raw = F.when(suspicious, F.col(raw_col)) if raw_col else F.lit(None).cast("binary")
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), raw.alias("raw"))
-
-    def scan(part: tuple[tuple[int, tuple[str, ...]], ...]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[tuple] = []
-                for doc_id, text, raw_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if text:
-                        rows += [(doc_id, part[k][0], *rest) for k, *rest in examine(words(mended(text, raw_bytes)), part)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                types = (pa.int64(), pa.int64(), *(pa.int32(),) * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "distance", "longest_run", "covered_words", "item_words"])
-
-        return run
-
-    parts = [tuple(chosen[i : i + block]) for i in range(0, len(chosen), block)] or [()]
-    out = table.mapInArrow(scan(parts[0]), SCHEMA)
-    for part in parts[1:]:
-        out = out.unionByName(table.mapInArrow(scan(part), SCHEMA))
-    return out
+    wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null and item_text is not null").distinct()
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("item_text")), F.lit(0)).alias("chars")).first()
+    if size.n > block or size.chars > most_chars:
+        return _joined(table, wanted)
+    chosen = [(r.item_id, tuple(words(r.item_text))) for r in wanted.collect()]
+    return table.mapInArrow(_scan(tuple(dict.fromkeys((i, w) for i, w in chosen if len(w) >= PASSAGE))), SCHEMA)

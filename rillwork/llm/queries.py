@@ -30,7 +30,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_passages(spark, d).select("doc_id", "item_id")
+    return p8_passages(spark, d).where("leaked").select("doc_id", "item_id")
 
 
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
