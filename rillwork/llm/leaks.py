@@ -2,8 +2,8 @@
 
 Pigeonhole edit matching on words. A leak may be a part of an item only, so the error budget belongs
 to a passage: each eight successive words of an item may have BUDGET word edits and are split
-into BUDGET + 1 pieces of four words, one of which must stand in the text unchanged. One pass over
-each text with an automaton finds all exact hits of such pieces at any offset; a passage around a hit is
+into BUDGET + 1 pieces of four words, one of which must stand in the text unchanged. A sorted index
+of all items' pieces finds their exact hits at any offset; a passage around a hit is
 verified with Myers' bit-parallel edit distance, which rejects chance hits and accepts edited copies.
 Verified passages are then measured twice: as they are (exact runs), and with their edits.
 
@@ -64,24 +64,81 @@ def myers_distance(peq: dict[str, int], m: int, text: list[str]) -> int:
     return best
 
 
+#: Hits that are looked at together, which bounds a worker's memory.
+_AT_ONCE = 1_000_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
 class _Matcher:
-    """Pieces of items at all offsets, and the masks of their passages as they are asked for."""
+    """Items as one array of word numbers with gaps between them, a sorted index of their pieces
+    at all offsets, and the masks of their passages as they are asked for."""
 
     def __init__(self, items: Items):
-        import ahocorasick
-
         self.items = items
-        self.automaton = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(items):
-            for o in range(len(w) - PIECE + 1):
-                at.setdefault(" " + " ".join(w[o : o + PIECE]) + " ", []).append((k, o))
-        for key, places in at.items():
-            self.automaton.add_word(key, places)
-        self.automaton.make_automaton()
-        self.any = bool(at)
+        self.vocabulary: dict[str, int] = {}
+        gap = [-2] * (PASSAGE + BUDGET)
+        flat, first = list(gap), []
+        for _, w in items:
+            first.append(len(flat))
+            flat += [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w] + gap
+        self.flat = np.array(flat, np.int64)
+        self.starts = np.array(first or [0])
+        self.item_of = np.searchsorted(self.starts, np.arange(len(flat)), "right") - 1
+        self.codes, self.at = self._codes(self.flat)
+        order = np.argsort(self.codes, kind="stable")
+        self.codes, self.at = self.codes[order], self.at[order]
         self.seen: dict[tuple[int, int], dict[str, int]] = {}
 
+    @staticmethod
+    def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, positions) of the pieces made of known words only."""
+        if len(ids) < PIECE:
+            return np.array([], np.uint64), np.array([], np.int64)
+        views = np.lib.stride_tricks.sliding_window_view(ids, PIECE)
+        at = np.flatnonzero((views >= 0).all(axis=1))
+        code = np.zeros(len(at), np.uint64)
+        for j in range(PIECE):
+            code = (code ^ (views[at, j].astype(np.uint64) + np.uint64(1))) * _MIX[j % len(_MIX)]
+            code ^= code >> np.uint64(29)
+        return code, at
+
+    def hits(self, docs: list[list[str]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """Per text and item: exact hits (position in the text, offset in the item) of pieces, beside which another piece
+        can stand with at most BUDGET edits: all but BUDGET of its words are there, shifted by no more than BUDGET."""
+        edge = PASSAGE + BUDGET
+        size = np.array([len(d) for d in docs])
+        first = np.cumsum(size + edge) - size
+        ids = np.full(int(first[-1] + size[-1]) + edge, -1, np.int64)
+        known = self.vocabulary
+        for d, begin in zip(docs, first.tolist(), strict=True):
+            ids[begin : begin + len(d)] = [known.get(w, -1) for w in d]
+        codes, places = self._codes(ids)
+        low, high = np.searchsorted(self.codes, codes, "left"), np.searchsorted(self.codes, codes, "right")
+        some = np.flatnonzero(high > low)
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        many = np.cumsum(high[some] - low[some])
+        begin = 0
+        while begin < len(some):
+            done = many[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(many, done + _AT_ONCE, "right")))
+            part = some[begin:end]
+            count = high[part] - low[part]
+            p = np.repeat(places[part], count)
+            g = self.at[np.repeat(low[part] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            same = np.all([ids[p + j] == self.flat[g + j] for j in range(PIECE)], axis=0)
+            near = np.zeros((2, len(p)), np.int64)
+            for side, offsets in enumerate((range(PIECE, PASSAGE), range(PIECE - PASSAGE, 0))):
+                for j in offsets:
+                    wanted = self.flat[g + j]
+                    near[side] += np.any([ids[p + j + shift] == wanted for shift in range(-BUDGET, BUDGET + 1)], axis=0)
+            keep = np.flatnonzero(same & (near.max(axis=0) >= PASSAGE - PIECE - BUDGET))
+            p, g = p[keep], g[keep]
+            d, k = np.searchsorted(first, p, "right") - 1, self.item_of[g]
+            for key, x, y in zip(zip(d.tolist(), k.tolist(), strict=True), (p - first[d]).tolist(), (g - self.starts[k]).tolist(), strict=True):
+                found.setdefault(key, []).append((x, y))
+            begin = end
+        return found
+
     def passage(self, k: int, start: int) -> dict[str, int]:
         made = self.seen.get((k, start))
         if made is None:
@@ -116,6 +173,15 @@ def _runs(doc: list[str], item: tuple[str, ...], hits: list[tuple[int, int]]) ->
     return out
 
 
+def _reach(offsets: set[int]) -> int:
+    """How many words all passages that keep one of these pieces can cover."""
+    total, last = 0, -PASSAGE
+    for o in sorted(offsets):
+        begin, end = max(o + PIECE - PASSAGE, last), o + PASSAGE
+        total, last = total + end - begin, end
+    return total
+
+
 def _passages(matcher: _Matcher, k: int, doc: list[str], runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(shift, first word, end) of the item's stretches that verified passages make up."""
     m, found = len(matcher.items[k][1]), []
@@ -136,26 +202,16 @@ def _passages(matcher: _Matcher, k: int, doc: list[str], runs: list[tuple[int, i
     return [tuple(s) for s in out]
 
 
-def examine(doc: list[str], items: Items) -> list[tuple]:
-    """(index of item, distance, longest run, covered words, longest near run, near words, item words, leaked) of
-    the items of which the text holds enough, as they are or with edits."""
+def examine_all(docs: list[list[str]], items: Items) -> list[tuple]:
+    """(index of text, index of item, distance, longest run, covered words, longest near run, near words, item words,
+    leaked) of the items of which a text holds enough, as they are or with edits."""
     matcher = _matcher(items)
-    if not matcher.any or len(doc) < PASSAGE - BUDGET:
-        return []
-    text = " " + " ".join(doc) + " "
-    found: dict[int, list[tuple[int, int]]] = {}
-    for end, places in matcher.automaton.iter(text):
-        for k, o in places:
-            found.setdefault(k, []).append((end, o))
-    if not found:
-        return []
-    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
     out = []
-    for k, hits in found.items():
-        item = items[k][1]
+    for (d, k), places in matcher.hits(docs).items() if docs and items else ():
+        doc, item = docs[d], items[k][1]
         m = len(item)
-        ends = np.searchsorted(spaces, [e for e, _ in hits])
-        places = [(int(e) - PIECE, o) for e, (_, o) in zip(ends, hits, strict=True)]
+        if _reach({o for _, o in places}) < min(RUN, SHARE * m):
+            continue
         runs = _runs(doc, item, places)
         near = _passages(matcher, k, doc, runs)
         if not near:
@@ -179,10 +235,17 @@ def examine(doc: list[str], items: Items) -> list[tuple]:
                     spans.append([a, b])
             peq = masks(list(item))
             distance = min(myers_distance(peq, m, doc[a:b]) for a, b in spans)
-            out.append((k, distance, longest, covered, close_run, close, m, leaked))
+            out.append((d, k, distance, longest, covered, close_run, close, m, leaked))
     return out
 
 
+def examine(doc: list[str], items: Items) -> list[tuple]:
+    """The same of one text."""
+    return [r[1:] for r in examine_all([doc], items)]
+
+
+
+
 _TYPES = (pa.int64(), pa.int64(), *(pa.int32(),) * 6, pa.bool_())
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -192,13 +255,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
 
 
-def _scan(items: Items):
+def _scan(items: Items, at_once: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            ids, docs, n = [], [], 0
             for doc_id, text, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text:
-                    rows += [(doc_id, items[k][0], *rest) for k, *rest in examine(words(mended(text, raw)), items)]
+                    ids.append(doc_id)
+                    docs.append(words(mended(text, raw)))
+                    n += len(docs[-1])
+                if n > at_once:
+                    rows += [(ids[d], items[k][0], *rest) for d, k, *rest in examine_all(docs, items)]
+                    ids, docs, n = [], [], 0
+            rows += [(ids[d], items[k][0], *rest) for d, k, *rest in examine_all(docs, items)]
             yield _batch(rows)
 
     return run
