@@ -22,7 +22,7 @@ def _observed(field: str) -> Column:
     return F.when(F.col(field).isNotNull(), F.struct(F.col("t").alias("t"), F.col("rec").alias("rec"), F.col(field).alias("v")))
 
 
-def nearest_donors(rows: DataFrame, fields: tuple[str, ...], *, hot_rows: int = 1_000_000, slice_width: int = 1440) -> DataFrame:
+def nearest_donors(rows: DataFrame, fields: tuple[str, ...], *, hot_rows: int = 200_000, slice_width: int = 1440) -> DataFrame:
     """`rows` has grp, t, rec and the fields. Returns the rows that lack a field, with prev_F and next_F structs."""
     cold, hot, _ = split_hot(rows, "grp", hot_rows)
     key, carried = ["grp"], None
@@ -80,7 +80,8 @@ def fill_from_similar(rows: DataFrame, fields: dict[str, str], constant: tuple[s
     one = one.select("grp", "rec_id", "t", "c.*")
     for f, table in looked_up.items():
         mine = F.col("field_name") == fields[f]
-        joined = one.join(table, F.when(mine, F.col("grp")) == F.col("of"), "left")
+        # rows of other fields match nothing, and spread by their id
+        joined = one.join(table, (F.when(mine, F.col("grp")).otherwise(F.col("rec_id").cast("string")) == F.col("of")) & mine, "left")
         one = joined.withColumn("filled", F.when(mine, F.when(F.col("donor_id").isNotNull(), F.col("constant"))).otherwise(F.col("filled"))).select(*one.columns)
     # records of the same hour, one donor a field: what is left without a donor in its group
     hours = whole.groupBy(F.floor(F.col("t") / 60).alias("hour")).agg(*(F.min(_observed(f)).alias(f"any_{f}") for f in names))

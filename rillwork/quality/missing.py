@@ -14,11 +14,17 @@ driver is bounded by the thresholds (at most 1 / min_share values a field), not
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
+
+#: Buckets of a factor e in which quartiles are looked for.
+BUCKETS = 16
 #: Spellings that say "no value" in an id.
 NULL_WORDS = ("null", "none", "nan", "na", "n/a", "nil", "unknown", "undefined", "missing")
 
@@ -46,9 +52,9 @@ class MissingRules:
         return F.when(c.isNotNull() & ok, c)
 
 
-def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...], *, min_foreign: int = 2, min_share: float = 2e-4, min_rows: int = 5, min_sources: float = 0.05, far: float = 6.0) -> MissingRules:
+def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...], *, min_foreign: int = 2, min_share: float = 2e-4, min_rows: int = 5, min_sources: float = 0.05, far: float = 6.0, most: int = 10_000) -> MissingRules:
     """Learn the stand-ins of `source` and of the numeric `fields`; see the module's text.
-    An empty table gives rules without stand-ins."""
+    An empty table gives rules without stand-ins; more than `most` ids that look like stand-ins are an error."""
     plain = MissingRules()
     found: tuple[str, ...] = ()
     src, sources = plain.source(source), 0
@@ -57,23 +63,30 @@ def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...
         homes = pairs.withColumn("home", F.max(F.struct("n", "s")).over(Window.partitionBy("d"))["s"])
         spread = homes.groupBy("s").agg(F.count_distinct(F.when(F.col("s") != F.col("home"), F.col("home"))).alias("foreign"), F.count_if(F.col("s") == F.col("home")).alias("own"))
         odd = (F.col("foreign") >= min_foreign) & (F.col("foreign") > F.col("own"))
-        seen = spread.agg(F.array_sort(F.collect_list(F.when(odd, F.col("s")))).alias("odd"), F.count_if(~odd).alias("k")).first()
-        found, sources = tuple(seen.odd), seen.k
+        seen = spread.agg(F.count_if(odd).alias("odd"), F.count_if(~odd).alias("k")).first()
+        if seen.odd > most:
+            raise ValidationError(f"{seen.odd} source ids look like stand-ins, more than {most}")
+        found, sources = tuple(sorted(r.s for r in spread.where(odd).select("s").collect())) if seen.odd else (), seen.k
     rules = MissingRules(found)
     if not fields:
         return rules
     known = rules.source(source)
     if not detector:
         sources = df.agg(F.approx_count_distinct(known)).first()[0]
-    shape = df.agg(F.count("*").alias("n"), *(F.percentile_approx(plain.value(f), [0.25, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(fields))).first()
     cells = F.stack(F.lit(len(fields)), *(x for i, f in enumerate(fields) for x in (F.lit(i), plain.value(f)))).alias("f", "v")
+    # quartiles by logarithmic buckets: at most one row per field and bucket, whatever the table's size
+    shape = df.select(cells).groupBy("f", F.when(F.col("v") > 0, F.floor(F.ln("v") * BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()
+    rows = sum(r.n for r in shape if r.f == 0)
     limit = F.lit(None).cast("double")
     for i in range(len(fields)):
-        if quartiles := shape[f"q{i}"]:
-            limit = F.when(F.col("f") == i, quartiles[1] + far * max(quartiles[1] - quartiles[0], 1e-9)).otherwise(limit)
+        hist = sorted((r.b, r.n) for r in shape if r.f == i and r.b is not None)
+        if hist:
+            ends = np.cumsum([n for _, n in hist])
+            low, high = (math.exp((hist[int(np.searchsorted(ends, ends[-1] * share, "right"))][0] + 0.5) / BUCKETS) for share in (0.25, 0.75))
+            limit = F.when(F.col("f") == i, high + far * max(high - low, high / BUCKETS)).otherwise(limit)
     odd = df.select(known.alias("s"), cells).where(F.col("v").isNotNull() & ((F.col("v") < 0) | (F.col("v") > limit)))
     often = odd.groupBy("f", "v", "s").agg(F.count("*").alias("n")).groupBy("f", "v").agg(F.sum("n").alias("n"), F.count("s").alias("sources"))
-    rows = often.where((F.col("n") >= max(min_rows, min_share * shape.n)) & (F.col("sources") >= max(2, min_sources * sources))).collect()
+    rows = often.where((F.col("n") >= max(min_rows, min_share * rows)) & (F.col("sources") >= max(2, min_sources * sources))).collect()
     return MissingRules(found, tuple((f, tuple(sorted(r.v for r in rows if r.f == i))) for i, f in enumerate(fields)))
 
 

@@ -22,11 +22,12 @@ def _rules(train: DataFrame, fields: tuple[str, ...] = FIELDS) -> missing.Missin
 
 def p1_doubtful(spark: SparkSession, d: str) -> DataFrame:
     train = _read(spark, d, "trainset")
-    return spikes.flag_spikes(train, _rules(train), missing.minute_number())
+    return spikes.flag_spikes(train, _rules(train), missing.minute_number(), strict=False)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_doubtful(spark, d).where("confirmed").select("rec_id")
+    train = _read(spark, d, "trainset")
+    return spikes.flag_spikes(train, _rules(train), missing.minute_number()).where("flagged").select("rec_id")
 
 
 def p1_medians(spark: SparkSession, d: str) -> DataFrame:

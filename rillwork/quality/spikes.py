@@ -4,20 +4,21 @@ Each measured field of a source is a chain of readings in time order. Its hidden
 normal, spike, stuck and out-of-range. Emissions are relative to the source's own medians:
 
 * normal: Laplace in the log ratio to the source's median and in the log ratio of
-  speed x travel time, cut off at the hard bounds (density 0 beyond them);
+  speed x travel time, with density 0 beyond the hard bounds;
 * spike: flat in both; stuck: as normal but nearly always equal to a neighbouring reading;
 * out-of-range: physically impossible values, and only these.
 
-Forward-backward gives each reading's state probabilities. A reading becomes a candidate
-if normal has a probability below `doubt`; candidates are then confirmed against the exact
-bounds. A reading beyond a bound has probability 0 of being normal, and a run of ten equal
-readings is at least 9.8**8 times likelier as stuck, so no confirmed case can be missed.
+Forward-backward gives each reading's state probabilities, and the likeliest state is the flag. The hard
+bounds are part of the emissions: beyond them nothing is normal, and with `strict` a spike can only be
+beyond them and only a run of STUCK_RUN equal readings can be stuck, which leaves to the chain whether it
+is. Without `strict`, spikes and stuck values may be anywhere, and their probability is a doubt.
 
 Scale: one shuffle by source. Forward-backward is a product of 4x4 matrices, so a worker
-scans all series of a block at once in numpy. Sources above `hot_rows` rows are cut into
-chunks with halo (series.split_series); the influence of a reading on another's state fades
-by far more than any number's precision within `halo` readings, and runs of ten are seen whole.
-Their medians come from an exact two-step selection (histogram, then the median's bucket only).
+scans all series of a block at once in numpy. Sources above `hot_rows` rows are taken apart into one
+chain per field and cut into chunks with halo (series.cut_series). As every row of such a chain has a reading, the
+halo is one of readings: the influence of a reading on another's state fades by far more than any number's
+precision within `halo` of them, and runs are seen whole. Their quartiles come from an exact two-step selection
+(histogram, then the quartiles' buckets only), so a source is judged alike whatever its size.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import CORE, HEADER, grouped_median, split_series, whole_series
+from ..series import CORE, HEADER, cut_series, grouped_quartiles, split_hot, whole_series
 from .missing import MissingRules
 
 STATES = ("normal", "spike", "stuck", "out_of_range")
@@ -45,7 +46,8 @@ TRAVEL_HIGH, TRAVEL_LOW = 5.0, 0.5
 PRODUCT_HIGH, PRODUCT_LOW = 1.5, 2 / 3
 STUCK_RUN = 10
 
-SCHEMA = "rec_id long, source string, speed_state string, travel_state string, speed_doubt double, travel_doubt double, confirmed boolean, reason string"
+SCHEMA = "rec_id long, source string, speed_state string, travel_state string, speed_doubt double, travel_doubt double, flagged boolean, reason string"
+_JUDGED = "rec_id long, source string, speed_state string, travel_state string, speed_doubt double, travel_doubt double"
 
 
 def posteriors(emit: np.ndarray, start: np.ndarray, blocks: int = 256) -> np.ndarray:
@@ -110,27 +112,27 @@ def _laplace(x: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.exp(-np.abs(x) / scale) / (2 * scale)
 
 
-def _field_chain(value: np.ndarray, first: np.ndarray, possible: np.ndarray, within: np.ndarray, ratio: np.ndarray, scale: np.ndarray, product: np.ndarray, product_scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of one field's chain, and whether a reading is in a run of equal values."""
+def _field_chain(value: np.ndarray, first: np.ndarray, possible: np.ndarray, within: np.ndarray, ratio: np.ndarray, scale: np.ndarray, product: np.ndarray, product_scale: np.ndarray, strict: bool) -> np.ndarray:
+    """Posteriors of one field's chain."""
     same = np.zeros(len(value) + 1, bool)
     same[1:-1] = (value[1:] == value[:-1]) & ~first[1:]
     tie = same[:-1] | same[1:]
     run = np.cumsum(~same[:-1]) - 1
-    stuck = np.bincount(run)[run] >= STUCK_RUN
+    long_run = np.bincount(run)[run] >= STUCK_RUN
     joint = np.where(np.isnan(product), 1.0, _laplace(np.nan_to_num(product), product_scale))
     flat = FLAT * np.where(np.isnan(product), 1.0, FLAT)
     density = np.maximum(_laplace(ratio, scale) * joint, FLOOR)
     tied = np.where(tie[:, None], TIE, 1 - TIE)
     emit = np.zeros((len(value), 4))
     emit[:, 0] = np.where(possible & within, density * tied[:, 0], 0)
-    emit[:, 1] = np.where(possible, flat * tied[:, 1], 0)
-    emit[:, 2] = np.where(possible, density * tied[:, 2], 0)
+    emit[:, 1] = np.where(possible & ~(within & strict), flat * tied[:, 1], 0)
+    emit[:, 2] = np.where(possible & (long_run | (not strict)), density * tied[:, 2], 0)
     emit[:, 3] = ~possible
-    return posteriors(emit, first), stuck
+    return posteriors(emit, first)
 
 
-def _judge(doubt: float, everything: bool):
-    out_schema = pa.schema([("rec_id", pa.int64()), ("source", pa.string()), ("speed_state", pa.string()), ("travel_state", pa.string()), ("speed_doubt", pa.float64()), ("travel_doubt", pa.float64()), ("confirmed", pa.bool_()), ("reason", pa.string())])
+def _judge(doubt: float, everything: bool, strict: bool, cut: bool):
+    out_schema = pa.schema([("rec_id", pa.int64()), ("source", pa.string()), ("speed_state", pa.string()), ("travel_state", pa.string()), ("speed_doubt", pa.float64()), ("travel_doubt", pa.float64())])
     names = pa.array(STATES)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +141,7 @@ def _judge(doubt: float, everything: bool):
             rec = table["rec"].to_numpy()
             a = table["a"].to_numpy(zero_copy_only=False).astype(float)
             b = table["b"].to_numpy(zero_copy_only=False).astype(float)
+            only = table["chunk"].to_numpy() % 2 if cut else np.full(len(a), -1)
             series = np.cumsum(first) - 1
             groups = int(series[-1]) + 1
             header = kind == HEADER
@@ -147,13 +150,14 @@ def _judge(doubt: float, everything: bool):
             both = a_ok & b_ok
             with np.errstate(all="ignore"):
                 p = np.where(both, a * b, np.nan)
-                mid = np.vstack([grouped_median(v[ok], series[ok], groups) for v, ok in ((a, a_ok), (b, b_ok), (p, both))])
-                spread = []
-                for v, ok, m in ((a, a_ok, mid[0]), (b, b_ok, mid[1]), (p, both, mid[2])):
-                    spread.append(grouped_median(np.abs(np.log(v[ok] / m[series[ok]])), series[ok], groups))
-                spread = np.vstack(spread)
-                for i in np.flatnonzero(header):  # a cut source brings its own statistics
-                    (mid if rec[i] < 3 else spread)[rec[i] % 3, series[i]] = a[i]
+                mid, spread = np.full((3, groups), np.nan), np.full((3, groups), np.nan)
+                if cut:  # a cut source brings its own statistics
+                    for i in np.flatnonzero(header):
+                        (mid if rec[i] < 3 else spread)[rec[i] % 3, series[i]] = a[i]
+                else:
+                    for f, (v, ok) in enumerate(((a, a_ok), (b, b_ok), (p, both))):
+                        mid[f], low, high = grouped_quartiles(v[ok], series[ok], groups)
+                        spread[f] = np.log(high / low) / 2
                 scale = np.maximum(np.nan_to_num(spread, nan=0.1), 0.02)
                 ra, rb, rp = a / mid[0, series], b / mid[1, series], p / mid[2, series]
                 a_in, b_in = (ra <= SPEED_HIGH) & (ra >= SPEED_LOW), (rb <= TRAVEL_HIGH) & (rb >= TRAVEL_LOW)
@@ -161,64 +165,76 @@ def _judge(doubt: float, everything: bool):
                 log_p = np.where(both, np.log(np.where(both, rp, 1)), np.nan)
                 normal = np.ones((2, len(a)))
                 state = np.full((2, len(a)), -1)
-                stuck = np.zeros((2, len(a)), bool)
                 for f, (v, has, ok, inside, ratio) in enumerate(((a, a_has, a_ok, a_in, ra), (b, b_has, b_ok, b_in, rb))):
-                    at = np.flatnonzero(has)
+                    at = np.flatnonzero(has & (only != 1 - f))
                     if len(at) == 0:
                         continue
                     begin = np.ones(len(at), bool)
                     begin[1:] = np.diff(series[at]) != 0
                     log_r = np.where(ok[at], np.log(np.where(ok[at], ratio[at], 1)), 0.0)
-                    gamma, run = _field_chain(v[at], begin, ok[at], inside[at] & p_in[at], log_r, scale[f, series[at]], log_p[at], scale[2, series[at]])
-                    normal[f, at], state[f, at], stuck[f, at] = gamma[:, 0], gamma.argmax(axis=1), run
-            candidate = (normal < doubt).any(axis=0)
-            impossible = (a_has & ~a_ok) | (b_has & ~b_ok)
-            off = (a_ok & ~a_in) | (b_ok & ~b_in) | ~p_in
-            confirmed = candidate & (impossible | off | stuck.any(axis=0))
-            keep = np.flatnonzero((kind == CORE) & (candidate | everything))
-            reason = np.where(impossible, "out_of_range", np.where(off, "spike", np.where(stuck.any(axis=0), "stuck", "doubtful")))
-            reason = np.where(candidate, reason, "")
+                    gamma = _field_chain(v[at], begin, ok[at], inside[at] & p_in[at], log_r, scale[f, series[at]], log_p[at], scale[2, series[at]], strict)
+                    normal[f, at], state[f, at] = gamma[:, 0], gamma.argmax(axis=1)
+            shown = (state >= 0) & (everything | (normal < doubt) | (state > 0))
+            state, normal = np.where(shown, state, -1), np.where(shown, normal, 1)
+            keep = np.flatnonzero((kind == CORE) & shown.any(axis=0))
             pick = lambda f: names.take(pa.array(np.where(state[f, keep] < 0, 0, state[f, keep]), mask=state[f, keep] < 0))
-            yield from pa.Table.from_arrays([
-                pa.array(rec[keep]), table["src"].combine_chunks().take(pa.array(keep)) if not isinstance(table["src"], pa.Array) else table["src"].take(pa.array(keep)),
-                pick(0), pick(1), pa.array(1 - normal[0, keep]), pa.array(1 - normal[1, keep]), pa.array(confirmed[keep]), pa.array(reason[keep].tolist(), pa.string()),
-            ], schema=out_schema).to_batches()
+            src = table["src"].combine_chunks() if isinstance(table["src"], pa.ChunkedArray) else table["src"]
+            yield from pa.Table.from_arrays([pa.array(rec[keep]), src.take(pa.array(keep)), pick(0), pick(1), pa.array(1 - normal[0, keep]), pa.array(1 - normal[1, keep])], schema=out_schema).to_batches()
 
     return judge
 
 
 def exact_medians(rows: DataFrame) -> DataFrame:
-    """Per (src, field) of rows (src, field, v > 0): exact median and the log spread.
+    """Per (src, field) of rows (src, field, v > 0): exact median, and as spread half the log ratio of the
+    values at three quarters and a quarter.
 
-    Counts per logarithmic bucket give the bucket of the median; only that bucket's values
+    Counts per logarithmic bucket give the buckets of these ranks; only those buckets' values
     are counted one by one. No task gets a source's values as a group."""
-    hist = rows.withColumn("bucket", F.floor(F.ln("v") * 64)).groupBy("src", "field", "bucket").agg(F.count("*").alias("n"))
+    bucket = F.floor(F.ln("v") * 64)
+    hist = rows.groupBy("src", "field", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     every, upto = Window.partitionBy("src", "field"), Window.partitionBy("src", "field").orderBy("bucket")
     hist = hist.withColumns({"total": F.sum("n").over(every), "end": F.sum("n").over(upto)}).withColumn("begin", F.col("end") - F.col("n"))
     covers = lambda rank: (F.col("begin") <= rank) & (rank < F.col("end"))
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    spread = hist.groupBy("src", "field").agg((F.max(F.when(covers(F.floor(F.col("total") * 3 / 4)), F.col("bucket"))) - F.max(F.when(covers(F.floor(F.col("total") / 4)), F.col("bucket")))).alias("width"))
-    wanted = hist.where(covers(low) | covers(high)).select("src", "field", "bucket", "begin", "total")
-    values = rows.withColumn("bucket", F.floor(F.ln("v") * 64)).join(wanted, ["src", "field", "bucket"]).groupBy("src", "field", "bucket", "begin", "total", "v").agg(F.count("*").alias("n"))
+    total = F.col("total")
+    ranks = [F.floor((total - 1) / 2), F.floor(total / 2), F.floor(total / 4), F.floor(total * 3 / 4)]
+    wanted = hist.where(covers(ranks[0]) | covers(ranks[1]) | covers(ranks[2]) | covers(ranks[3])).select("src", "field", "bucket", "begin", "total")
+    values = rows.withColumn("bucket", bucket).join(wanted, ["src", "field", "bucket"]).groupBy("src", "field", "bucket", "begin", "total", "v").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("src", "field", "bucket").orderBy("v")
     values = values.withColumn("end", F.col("begin") + F.sum("n").over(inside)).withColumn("begin", F.col("end") - F.col("n"))
-    mid = values.groupBy("src", "field").agg(((F.max(F.when(covers(low), F.col("v"))) + F.max(F.when(covers(high), F.col("v")))) / 2).alias("median"))
-    return mid.join(spread, ["src", "field"]).select("src", "field", "median", (F.col("width") / 128).alias("spread"))
+    low, high, first, third = (F.max(F.when(covers(r), F.col("v"))) for r in ranks)
+    return values.groupBy("src", "field").agg(((low + high) / 2).alias("median"), (F.ln(third / first) / 2).alias("spread"))
 
 
-def flag_spikes(df: DataFrame, rules: MissingRules, t, *, rec: str = "rec_id", source: str = "link_id", speed: str = "prcs_spd", travel: str = "prcs_trv_time", doubt: float = 0.95, everything: bool = False, hot_rows: int = 200_000, halo: int = 1024) -> DataFrame:
+def _hot_rows(hot: DataFrame, hot_rows: int, halo: int) -> DataFrame:
+    """Rows of hot sources, one chain per field (told by the parity of `chunk`), under headers with their statistics."""
+    field = F.explode(F.array_compact(F.array(F.when(F.col("a").isNotNull(), F.lit(0)), F.when(F.col("b").isNotNull(), F.lit(1)))))
+    rows, chunks = cut_series(hot.select("*", field.alias("field")), ["src", "field"], hot_rows, halo, unit=1440)
+    a, b = F.when((F.col("a") > 0) & (F.col("a") <= SPEED_MAX), F.col("a")), F.when(F.col("b") > 0, F.col("b"))
+    stats = exact_medians(hot.select("src", F.stack(F.lit(3), F.lit(0), a, F.lit(1), b, F.lit(2), a * b).alias("of", "v")).where("v is not null").withColumnRenamed("of", "field"))
+    per = F.explode(F.array(F.struct(F.col("of").cast("long").alias("rec"), F.col("median").alias("a")), F.struct((F.col("of") + 3).cast("long").alias("rec"), F.col("spread").alias("a"))))
+    heads = chunks.join(stats.withColumnRenamed("field", "of"), "src").select("src", "field", "chunk", per.alias("h"))
+    parted = (F.col("chunk") * 2 + F.col("field")).alias("chunk")
+    return rows.select("src", "t", "rec", "a", "b", parted, "kind").unionByName(heads.select("src", F.lit(-(2**62)).alias("t"), "h.rec", "h.a", F.lit(None).cast("double").alias("b"), parted, F.lit(HEADER).alias("kind")))
+
+
+def flag_spikes(df: DataFrame, rules: MissingRules, t, *, rec: str = "rec_id", source: str = "link_id", speed: str = "prcs_spd", travel: str = "prcs_trv_time", strict: bool = True, doubt: float = 0.95, everything: bool = False, hot_rows: int = 200_000, halo: int = 1024) -> DataFrame:
     """Judge each reading of `df`; `t` is the column expression of the reading's time.
 
-    Returns one row per record in doubt (`everything`: per record) with SCHEMA. Defined cases:
-    a record without known source belongs to no source and is never judged; a missing value is
+    Returns one row per record id and source with SCHEMA, for flagged records and those of which a reading
+    is normal with a probability below `doubt` (`everything`: for all). `flagged`: a field's likeliest state is not normal.
+    A field that is neither flagged nor doubtful has no state and doubt 0.
+    Defined cases: a record without known source belongs to no source and is never judged; a missing value is
     no reading and is passed over; records without a valid time sort first; ties in time are
-    ordered by record id; repeated rows are readings of their own; other columns are ignored."""
+    ordered by record id; records sent under the same id are readings of their own and share a row; other columns are ignored."""
     base = df.select(rules.source(source).alias("src"), t.cast("long").alias("t"), F.col(rec).cast("long").alias("rec"), rules.value(speed).alias("a"), rules.value(travel).alias("b")).where("src is not null and rec is not null and (a is not null or b is not null)")
-    rows, hot, chunks = split_series(base, hot_rows, halo, unit=1440)
+    cold, hot, _ = split_hot(base, "src", hot_rows)
+    run = lambda rows, cut: rows.repartition("src", "chunk").sortWithinPartitions("src", "chunk", "t", "rec").mapInArrow(_judge(doubt, everything, strict, cut), _JUDGED)
+    judged = run(cold.withColumns({"chunk": F.lit(0), "kind": F.lit(CORE)}), False)
     if hot is not None:
-        a, b = F.when((F.col("a") > 0) & (F.col("a") <= SPEED_MAX), F.col("a")), F.when(F.col("b") > 0, F.col("b"))
-        stats = exact_medians(hot.select("src", F.stack(F.lit(3), F.lit(0), a, F.lit(1), b, F.lit(2), a * b).alias("field", "v")).where("v is not null"))
-        heads = chunks.join(stats, "src").select("src", F.lit(-(2**62)).alias("t"), F.explode(F.array(F.struct(F.col("field").cast("long").alias("rec"), F.col("median").alias("a")), F.struct((F.col("field") + 3).cast("long").alias("rec"), F.col("spread").alias("a")))).alias("h"), "chunk")
-        rows = rows.unionByName(heads.select("src", "t", "h.rec", "h.a", F.lit(None).cast("double").alias("b"), "chunk", F.lit(HEADER).alias("kind")))
-    placed = rows.repartition("src", "chunk").sortWithinPartitions("src", "chunk", "t", "rec")
-    return placed.mapInArrow(_judge(doubt, everything), SCHEMA)
+        judged = judged.unionByName(run(_hot_rows(hot, hot_rows, halo), True))
+    one = judged.groupBy("rec_id", "source").agg(*(F.max(F.when(F.col(c).isNotNull(), F.array_position(F.array(*map(F.lit, STATES)), F.col(c)))).alias(c) for c in ("speed_state", "travel_state")), F.max("speed_doubt").alias("speed_doubt"), F.max("travel_doubt").alias("travel_doubt"))
+    named = lambda c: F.get(F.array(*map(F.lit, STATES)), (F.col(c) - 1).cast("int"))
+    out = one.withColumns({c: named(c) for c in ("speed_state", "travel_state")})
+    any_ = lambda s: F.coalesce(F.col("speed_state") == s, F.lit(False)) | F.coalesce(F.col("travel_state") == s, F.lit(False))
+    reason = F.when(any_("out_of_range"), "out_of_range").when(any_("spike"), "spike").when(any_("stuck"), "stuck").when(F.greatest("speed_doubt", "travel_doubt") > 1 - doubt, "doubtful").otherwise("")
+    return out.select("rec_id", "source", "speed_state", "travel_state", "speed_doubt", "travel_doubt", (any_("out_of_range") | any_("spike") | any_("stuck")).alias("flagged"), reason.alias("reason"))

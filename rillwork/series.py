@@ -1,7 +1,7 @@
 """Ordered series per source, split so that no task ever holds a whole hot source.
 
-`split_series` gives each source one chunk, and a source of more than `hot_rows` rows
-several, cut by rank. The rank is exact and never needs the whole source in one task:
+`split_hot` tells sources of more than `hot_rows` rows from others, and `cut_series` cuts series
+into chunks by rank. The rank is exact and never needs the whole series in one task:
 rows are counted per time unit, the counts are summed before each unit, and rows are
 numbered inside their unit only. Rows near a cut are copied into the neighbouring chunk
 as halo. `whole_series` then hands Python workers Arrow tables that hold whole chunks.
@@ -36,27 +36,23 @@ def split_hot(df: DataFrame, key: str, hot_rows: int, most: int = 5_000) -> tupl
     return df.where(~is_hot), df.where(is_hot), df.sparkSession.createDataFrame([(r[key], r.n) for r in found], counts.schema)
 
 
-def split_series(df: DataFrame, hot_rows: int, halo: int, unit: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """`df` has src, t, rec and payload columns. Returns the rows with `chunk` and `kind` (CORE or
-    HALO), the hot sources' own rows, and their chunks as (src, chunk); None where there are none."""
-    cold, hot, counts = split_hot(df, "src", hot_rows)
-    cold = cold.withColumns({"chunk": F.lit(0), "kind": F.lit(CORE)})
-    if hot is None:
-        return cold, None, None
-    units = hot.withColumn("unit", F.floor(F.coalesce(F.col("t"), F.lit(-1)) / unit))
-    before = Window.partitionBy("src").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = units.groupBy("src", "unit").agg(F.count("*").alias("n")).select("src", "unit", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("src", "unit").orderBy("t", "rec")
-    ranked = units.withColumn("own", F.row_number().over(inside) - 1).join(offsets, ["src", "unit"]).withColumn("rank", F.col("offset") + F.col("own"))
-    chunk, at = F.floor(F.col("rank") / hot_rows).cast("int"), F.col("rank") % hot_rows
+def cut_series(df: DataFrame, keys: list[str], size: int, halo: int, unit: int) -> tuple[DataFrame, DataFrame]:
+    """Cut the series of `keys` (rows have t and rec too) into chunks of `size` rows. Returns the rows with `chunk`
+    and `kind` (CORE or HALO), where each chunk has `halo` rows of its neighbours, and the chunks (keys, chunk)."""
+    units = df.withColumn("unit", F.floor(F.coalesce(F.col("t"), F.lit(-1)) / unit))
+    before = Window.partitionBy(*keys).orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    counts = units.groupBy(*keys, "unit").agg(F.count("*").alias("n")).select(*keys, "unit", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(*keys, "unit").orderBy("t", "rec")
+    ranked = units.withColumn("own", F.row_number().over(inside) - 1).join(counts.drop("n"), [*keys, "unit"]).withColumn("rank", F.col("offset") + F.col("own"))
+    chunk, at = F.floor(F.col("rank") / size).cast("int"), F.col("rank") % size
     copies = F.array_compact(F.array(
         F.struct(chunk.alias("chunk"), F.lit(CORE).alias("kind")),
         F.when((at < halo) & (chunk > 0), F.struct((chunk - 1).alias("chunk"), F.lit(HALO).alias("kind"))),
-        F.when(at >= hot_rows - halo, F.struct((chunk + 1).alias("chunk"), F.lit(HALO).alias("kind"))),
+        F.when(at >= size - halo, F.struct((chunk + 1).alias("chunk"), F.lit(HALO).alias("kind"))),
     ))
-    spread = ranked.select(*df.columns, F.explode(copies).alias("c")).select(*df.columns, "c.chunk", "c.kind")
-    chunks = counts.select("src", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / hot_rows).cast("int"))).alias("chunk"))
-    return cold.unionByName(spread), hot, chunks
+    rows = ranked.select(*df.columns, F.explode(copies).alias("c")).select(*df.columns, "c.chunk", "c.kind")
+    last = counts.groupBy(*keys).agg(F.max(F.col("offset") + F.col("n")).alias("n"))
+    return rows, last.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("chunk"))
 
 
 def changes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -98,13 +94,14 @@ def whole_series(batches: Iterator[pa.RecordBatch], rows: int = 120_000) -> Iter
         yield table, changes(table)
 
 
-def grouped_median(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Median per group (mean of the middle two); NaN where a group has no value."""
+def grouped_quartiles(values: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median (mean of the middle two) and the values at a quarter and three quarters of each group; NaN where a group has no value."""
     order = np.lexsort((values, group))
     v, count = values[order], np.bincount(group, minlength=groups)
     start = np.cumsum(count) - count
-    out = np.full(groups, np.nan)
+    median, low, high = (np.full(groups, np.nan) for _ in range(3))
     has = count > 0
-    low, high = start[has] + (count[has] - 1) // 2, start[has] + count[has] // 2
-    out[has] = (v[low] + v[high]) / 2
-    return out
+    begin, n = start[has], count[has]
+    median[has] = (v[begin + (n - 1) // 2] + v[begin + n // 2]) / 2
+    low[has], high[has] = v[begin + n // 4], v[begin + 3 * n // 4]
+    return median, low, high

@@ -43,7 +43,7 @@ def steady(link="a", n=60, first=0, jitter=True):
 
 
 def found(df, **options):
-    return {r.rec_id for r in spikes.flag_spikes(df, RULES, F.col("t"), **options).where("confirmed").collect()}
+    return {r.rec_id for r in spikes.flag_spikes(df, RULES, F.col("t"), **options).where("flagged").collect()}
 
 
 def test_kinds_of_cases(spark):
@@ -84,10 +84,34 @@ def test_odd_cases(spark):
 
 def test_cut_sources_give_the_same(spark, sf):
     train = spark.read.parquet(f"{sf}/trainset.parquet")
+    # one field is missing for hundreds of successive records, more than a halo of records would hold
+    train = train.withColumn("prcs_spd", F.when(F.floor(F.col("rec_id") / 1500) % 2 == 0, F.col("prcs_spd")))
     rules = missing.fit(train, "link_id", "detector_id", q.FIELDS)
-    whole = spikes.flag_spikes(train, rules, missing.minute_number()).where("confirmed").select("rec_id")
-    cut = spikes.flag_spikes(train, rules, missing.minute_number(), hot_rows=150, halo=40).where("confirmed").select("rec_id")
-    assert sorted(r[0] for r in whole.collect()) == sorted(r[0] for r in cut.collect())
+    for strict in (True, False):
+        whole, cut = ({r.rec_id: r for r in spikes.flag_spikes(train, rules, missing.minute_number(), strict=strict, **o).collect()} for o in ({}, {"hot_rows": 150, "halo": 100}))
+        assert whole.keys() == cut.keys()
+        for k, w in whole.items():
+            assert (w.speed_state, w.travel_state, w.flagged, w.reason) == (cut[k].speed_state, cut[k].travel_state, cut[k].flagged, cut[k].reason)
+            assert w.speed_doubt == pytest.approx(cut[k].speed_doubt, abs=1e-9) and w.travel_doubt == pytest.approx(cut[k].travel_doubt, abs=1e-9)
+
+
+def test_states_assign_the_flags(spark, monkeypatch):
+    rows = steady()
+    for i in range(20, 30):
+        rows[i] = (i, i, "a", "d", 51.7, rows[i][5])
+    assert found(table(spark, rows)) == set(range(20, 30))
+    spread = {r.rec_id: r for r in spikes.flag_spikes(table(spark, rows), RULES, F.col("t"), everything=True).collect()}
+    assert len(spread) == 60 and spread[25].speed_state == "stuck" and spread[25].travel_state == "normal"
+    # a chain that never gets stuck flags none of them
+    never = spikes.MOVES.copy()
+    never[:, 2] = 1e-30
+    emit = np.full((12, 4), 0.5)
+    emit[:, 2] = 4.9
+    start = np.zeros(12, bool)
+    start[0] = True
+    assert spikes.posteriors(emit, start)[5].argmax() == 2
+    monkeypatch.setattr(spikes, "MOVES", never)
+    assert spikes.posteriors(emit, start)[5].argmax() != 2
 
 
 def test_rules_find_stand_ins(spark, sf):
