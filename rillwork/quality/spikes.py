@@ -121,7 +121,7 @@ def _field_chain(value: np.ndarray, first: np.ndarray, possible: np.ndarray, wit
     long_run = np.bincount(run)[run] >= STUCK_RUN
     joint = np.where(np.isnan(product), 1.0, _laplace(np.nan_to_num(product), product_scale))
     flat = FLAT * np.where(np.isnan(product), 1.0, FLAT)
-    density = np.maximum(_laplace(ratio, scale) * joint, FLOOR)
+    density = np.fmax(_laplace(ratio, scale) * joint, FLOOR)  # a chunk of halo only has no statistics
     tied = np.where(tie[:, None], TIE, 1 - TIE)
     emit = np.zeros((len(value), 4))
     emit[:, 0] = np.where(possible & within, density * tied[:, 0], 0)
