@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..columns import ColumnRef, col, is_numeric, is_text, names_of
 from ..errors import ProcessError, ValidationError
 from ..registry import Op, operator
+from .ranks import median_of, values_at
 
 
 @operator("impute")
@@ -25,8 +26,7 @@ def impute(method: str, columns: list[ColumnRef] | None = None, how: str = "ANY"
         numbers = [c for c in chosen if is_numeric(df, c)]
         if not numbers:
             return df
-        f = {"MEDIAN": F.median, "MEAN": F.avg}[method]
-        made = df.agg(*(f(col(c)).alias(c) for c in numbers)).first()
+        made = {c: median_of(df, col(c)) for c in numbers} if method == "MEDIAN" else df.agg(*(F.avg(col(c)).alias(c) for c in numbers)).first()
         return df.withColumns({c: F.coalesce(col(c), F.lit(made[c]).cast(df.schema[c].dataType)) for c in numbers})
 
     return run
@@ -65,57 +65,30 @@ def equal_width_bins(columns: list[ColumnRef], bins: int, output: str = "NEW_COL
     return run
 
 
-def target_sizes(n: int, bins: int) -> list[int]:
-    """How many values each bin is meant to get. The remainder goes to single bins, alternating with plain
-    ones, as far right as alternating allows; beyond half of the bins, all from there on are larger."""
-    size, rest = divmod(n, bins)
-    if not rest:
-        return [size] * bins
-    begin = bins - 2 * rest if bins >= 2 * rest else 0
-    end = bins if bins >= 2 * rest else bins - rest + 1
-    return [size if i < begin else size + 1 if i >= end else size + (i - begin) % 2 for i in range(bins)]
-
-
-def depth_cuts(histogram: list[tuple[float, int]], bins: int) -> list[float]:
-    """Cut points over sorted (value, count): a bin is closed before the first new value once it is full, halfway
-    between the values; what it holds too much is taken from the next bin. Bins that are never reached are dropped."""
-    targets = target_sizes(sum(c for _, c in histogram), bins)
-    goal = targets[0]
-    most = goal + (targets[1] if bins > 1 else 0)
-    held, bin_, before, cuts = 0, 0, None, []
-    for value, copies in histogram:
-        if held > most:
-            raise ProcessError("too many equal values")
-        if before is not None and held >= goal and bin_ + 1 < bins:
-            cuts.append((value - before) / 2 + before)
-            bin_ += 1
-            goal += targets[bin_] - held
-            most = goal + (targets[bin_ + 1] if bin_ + 1 < bins else 0)
-            held = 0
-        if copies > 1 and held + copies - 1 > most:
-            raise ProcessError("too many equal values")
-        held += copies
-        before = value
-    return cuts
+def depth_cuts(df: DataFrame, value: Column, bins: int) -> list[float]:
+    """Cut points of bins of equal depth: the row count is cut into equal shares; a share ends after the value that
+    completes it, so equal values stay together, and the cut lies midway to the next value.
 
+    It is an error if some value holds so many rows that another share ends in it, as a bin would be empty."""
+    ends = values_at(df, value, lambda n: [-(-n * i // bins) - 1 for i in range(1, bins)] if n >= bins else [])
+    if len(set(ends)) < bins - 1:
+        raise ProcessError(f"fewer than {bins} bins can be made without parting equal values")
+    v = value.cast("double")
+    following = df.where(~F.isnan(v)).agg(*(F.min(F.when(v > e, v)).alias(str(i)) for i, e in enumerate(ends))).first()
+    if any(x is None for x in following):
+        raise ProcessError(f"fewer than {bins} bins can be made without parting equal values")
+    return [e + (x - e) / 2 for e, x in zip(ends, following, strict=True)]
 
-@operator("equal_depth_bins")
-def equal_depth_bins(columns: list[ColumnRef], bins: int, output: str = "NEW_COLUMN", most_values: int = 1_000_000) -> Op:
-    """Bins of about equally many rows that never part equal values (see `depth_cuts`).
 
-    The fold needs the histogram of distinct values only. A column with more than `most_values` distinct
-    values can't be folded exactly on the driver and is refused; round it first."""
+@operator("equal_depth_bins")
+def equal_depth_bins(columns: list[ColumnRef], bins: int, output: str = "NEW_COLUMN") -> Op:
+    """Bins of about equally many rows that never part equal values (see `depth_cuts`), whatever the number of distinct values."""
     if bins <= 1:
         raise ValidationError("at least two bins are needed")
 
     def run(df: DataFrame) -> DataFrame:
         for c in names_of(df, columns):
-            v = col(c).cast("double")
-            counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).count()
-            rows = counts.limit(most_values + 1).collect()
-            if len(rows) > most_values:
-                raise ValidationError(f"{c} has more than {most_values} distinct values")
-            df = _binned(df, c, depth_cuts(sorted((r[0], r[1]) for r in rows), bins), output)
+            df = _binned(df, c, depth_cuts(df, col(c), bins), output)
         return df
 
     return run

@@ -134,12 +134,12 @@ def kmedoids(k: int = 2, max_iter: int = 20, seed: int = 7, columns: list[Column
 
 
 @operator("dbscan")
-def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[ColumnRef] | None = None, name: str = "CLUSTER", max_rounds: int = 50) -> Op:
+def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[ColumnRef] | None = None, name: str = "CLUSTER", max_rounds: int | None = None) -> Op:
     """Density clusters by Manhattan distance <= eps; 0 is noise, clusters are numbered by their least id.
 
     Neighbours are found inside grid cells of width eps (practical in few dimensions). Equal points are one
     point with a weight, so copies cost nothing. Core points are joined into clusters by label propagation with
-    pointer jumping, whose rounds are written down with checkpoint()."""
+    pointer jumping until no label moves; rounds are written down with checkpoint(). `max_rounds` makes it an error to need more."""
 
     def run(df: DataFrame) -> DataFrame:
         spark = df.sparkSession
@@ -161,15 +161,17 @@ def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[Colu
         core = links.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= min_points).select("a").checkpoint()
         edges = links.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b").checkpoint()
         label = core.select("a", F.col("a").alias("l")).checkpoint()
-        for _ in range(max_rounds):
+        rounds = 0
+        while True:
+            rounds += 1
             low = edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l"))
             jumped = low.join(label.select(F.col("a").alias("l"), F.col("l").alias("m")), "l", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"))
             moved = jumped.checkpoint()
             if not moved.join(label.withColumnRenamed("l", "o"), "a").where("l < o").limit(1).count():
                 break
             label = moved
-        else:
-            raise ValidationError(f"labels still move after {max_rounds} rounds")
+            if max_rounds is not None and rounds >= max_rounds:
+                raise ValidationError(f"labels still move after {max_rounds} rounds")
         reach = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("near")).join(label, "a", "left").select(F.col("a").alias("p"), F.coalesce("l", "near").alias("l"))
         from .project import numbered
 
@@ -252,12 +254,35 @@ def random_forest_train(label: str, model_path: str, features: list[ColumnRef] |
     return run
 
 
+def latest_model(df: DataFrame, path: str) -> str:
+    """The greatest number among the names of a folder's folders, on any file system that Spark reads."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(context.hadoopConfiguration()).listStatus(folder) if s.isDirectory()]
+    numbers = [n for n in names if n.isdigit()]
+    if not numbers:
+        raise ValidationError(f"{path} holds no numbered model")
+    return max(numbers, key=int)
+
+
 @operator("model_predict")
-def model_predict(model_path: str, labels: list[str] | None = None, drop: str = "__") -> Op:
-    """Apply a saved pipeline; `labels` names columns `probability(<label>)` taken from its probability vector."""
+def model_predict(model_path: str, labels: list[str] | None = None, drop: str = "__", model_id: int | str | None = None, assemble: list[str] | None = None) -> Op:
+    """Apply a saved pipeline; `labels` names columns `probability(<label>)` taken from its probability vector.
+
+    `model_id` names a folder below `model_path`; "LATEST" takes the one with the greatest number as its name. `assemble`
+    puts the named columns (or, where empty, all numeric ones) into a vector `features` first; a table in which one of them is missing goes to
+    the model as it is."""
 
     def run(df: DataFrame) -> DataFrame:
-        out = PipelineModel.load(model_path).transform(df)
+        path = model_path if model_id is None else f"{model_path}/{latest_model(df, model_path) if str(model_id) == 'LATEST' else model_id}"
+        ready = df
+        if assemble is not None and "features" not in df.columns:
+            chosen = list(assemble) or [c for c in df.columns if is_numeric(df, c)]
+            if chosen and set(chosen) <= set(df.columns):
+                from pyspark.ml.feature import VectorAssembler
+
+                ready = VectorAssembler(inputCols=chosen, outputCol="features", handleInvalid="keep").transform(df)
+        out = PipelineModel.load(path).transform(ready)
         if labels:
             vector = next(c for c in out.columns if c in ("probability", "__q"))
             arr = vector_to_array(col(vector))

@@ -29,13 +29,20 @@ def select_columns(columns: list[ColumnRef] = (), names: list[str] = (), order:
     return run
 
 
+def _names_in(df: DataFrame, path: str, most: int = 100_000) -> list[str]:
+    """Comma-separated names of a text file; one of more than `most` lines is no list of columns and refused."""
+    lines = [r.value for r in df.sparkSession.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValidationError(f"{path} has more than {most} lines")
+    return [n for line in lines for n in line.split(",") if n.strip()]
+
+
 @operator("select_columns_from_file")
 def select_columns_from_file(path: str) -> Op:
     """Names from a text file of comma-separated names (any path that Spark can read)."""
 
     def run(df: DataFrame) -> DataFrame:
-        lines = [r.value for r in df.sparkSession.read.text(path).limit(10_000).collect()]
-        return select_columns(names=[n for line in lines for n in line.split(",") if n.strip()])(df)
+        return select_columns(names=_names_in(df, path))(df)
 
     return run
 
@@ -83,8 +90,7 @@ def rename_all_from_file(path: str) -> Op:
     """All names from a text file, comma-separated, in column order."""
 
     def run(df: DataFrame) -> DataFrame:
-        lines = [r.value for r in df.sparkSession.read.text(path).limit(10_000).collect()]
-        return df.toDF(*[n.strip() for line in lines for n in line.split(",") if n.strip()])
+        return df.toDF(*[n.strip() for n in _names_in(df, path)])
 
     return run
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 _HOLES = "(select event_id, case when event_id % 7 <> 0 then value end as value, case when event_id % 5 <> 0 then event_type end as event_type from events)"
-_C2 = "(select c_custkey, c_nationkey from customer where c_custkey % 2 = 0)"
-_O3 = "(select o_orderkey, o_custkey from orders where o_orderkey % 3 = 0)"
-_DAILY = "(select datediff('day', date '1992-01-01', cast(o_orderdate as date)) as day, round(sum(o_totalprice), 2) as total from orders where o_orderkey % 50 = 0 group by 1)"
+_C = "(select c_custkey, c_nationkey from customer)"
+_O = "(select o_orderkey, o_custkey from orders)"
+_DAILY = "(select datediff('day', date '1992-01-01', cast(o_orderdate as date)) as day, round(sum(o_totalprice), 2) as total from orders group by 1)"
 _BAND = "(select c_nationkey, c_mktsegment, cast(floor(c_acctbal / 2500) as int) as band from customer)"
 _SIZES = "(select c_nationkey, c_mktsegment, count(*) as n from customer group by all)"
 _VALUES = f"(select c_nationkey, c_mktsegment, band, count(*) as c from {_BAND} group by all)"
@@ -14,13 +14,19 @@ _NEAR = f"""(select g.day, p.day as pd, p.total as pt, n.day as nd, n.total as n
 
 
 def _joined(kind: str, columns: str = "c_custkey, c_nationkey, o_orderkey, o_custkey") -> str:
-    return f"select {columns} from {_C2} {kind} join {_O3} on c_custkey = o_custkey"
+    return f"select {columns} from {_C} {kind} join {_O} on c_custkey = o_custkey"
 
 
 def _bucketed(buckets: int, last: int) -> str:
     return f"(select c_custkey, c_acctbal, cast(least(floor((c_acctbal - lo) / ((hi - lo) / {buckets})), {last}) as int) as b, lo, hi from customer, (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer))"
 
 
+def _label(value: str, cuts: str) -> str:
+    at = f"len(list_filter({cuts}, lambda x: x <= {value}))"
+    shown = lambda i, end: f"coalesce(printf('%.6f', {cuts}[{i}]), '{end}')"
+    return f"'range' || ({at} + 1) || '[' || case when {at} = 0 then '-Infinity' else {shown(at, '')} end || '-' || {shown(at + ' + 1', 'Infinity')} || ']'"
+
+
 def _suppressed(where: str) -> str:
     return f"""select c_custkey, case when {where} then '*' else cast(c_nationkey as varchar) end as c_nationkey, case when {where} then '*' else c_mktsegment end as c_mktsegment
       from (select *, count(*) over (partition by c_nationkey, c_mktsegment) as n from customer)"""
@@ -74,10 +80,10 @@ def oracle_sql() -> dict[str, str]:
         "row_window_sliding": "with o as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as rn, count(*) over () as n from orders), w as (select cast(unnest(range(0, cast((n - 3) // 2 + 1 as bigint))) as bigint) as window_id from (select max(n) as n from o)) select window_id, o_orderkey from w join o on rn >= window_id * 2 and rn < window_id * 2 + 3",
         "row_window_tumbling": "select (row_number() over (order by o_orderdate, o_orderkey) - 1) // 100 as window_id, o_orderkey from orders",
         "row_window_groups": "with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as rn, count(*) over (partition by o_custkey) as n from orders) select rn - d as window_id, o_orderkey, o_custkey from o, (values (0), (1)) t(d) where rn - d >= 0 and rn - d <= n - 2",
-        "union_all": "select s_nationkey from supplier where s_nationkey > 3 union all select c_nationkey from customer where c_nationkey < 20",
-        "union": "select s_nationkey from supplier where s_nationkey > 3 union select c_nationkey from customer where c_nationkey < 20",
-        "intersect": "select s_nationkey from supplier where s_nationkey > 3 intersect select c_nationkey from customer where c_nationkey < 20",
-        "except": "select s_nationkey from supplier where s_nationkey > 3 except select c_nationkey from customer where c_nationkey < 20",
+        "union_all": "select s_nationkey from supplier union all select c_nationkey from customer",
+        "union": "select s_nationkey from supplier union select c_nationkey from customer",
+        "intersect": "select s_nationkey from supplier intersect select c_nationkey from customer",
+        "except": "select s_nationkey from supplier except select c_nationkey from customer",
         "join_inner": _joined("inner"),
         "join_left": _joined("left"),
         "join_right": _joined("right"),
@@ -95,18 +101,24 @@ def oracle_sql() -> dict[str, str]:
         "impute_constant": f"select event_id, coalesce(value, -1.0) as value, coalesce(event_type, 'none') as event_type from {_HOLES}",
         "impute_median": f"select event_id, round(coalesce(value, (select median(value) from {_HOLES})), 6) as value, event_type from {_HOLES}",
         "impute_mean": f"select event_id, round(coalesce(value, (select avg(value) from {_HOLES})), 6) as value, event_type from {_HOLES}",
-        "equal_width_bin": "select p_partkey, 'range' || cast(least(floor((p_retailprice - lo) / ((hi - lo) / 4)), 3) + 1 as int) as bin from part, (select min(p_retailprice) as lo, max(p_retailprice) as hi from part)",
+        "equal_width_bin": "select p_partkey, " + _label("p_retailprice", "cuts") + " as bin from part, (select [lo + (hi - lo) / 4 * i for i in [1, 2, 3]] as cuts from (select min(p_retailprice) as lo, max(p_retailprice) as hi from part))",
+        "equal_depth_bin": "with o as (select p_size, row_number() over (order by p_size) as rn, count(*) over () as n from part), e as (select i, max(p_size) filter (rn = ceil(n * i / 5.0)) as v from o, range(1, 5) t(i) group by i), c as (select list(v + ((select min(p_size) from part where p_size > v) - v) / 2 order by i) as cuts from e) select p_partkey, p_size, " + _label("p_size", "cuts") + " as p_size_result from part, c",
         "minmax_scale": "select c_custkey, round((c_acctbal - lo) / (hi - lo) * 2 - 1, 8) as c_acctbal from customer, (select min(c_acctbal) as lo, max(c_acctbal) as hi from customer)",
         "minmax_declared": "select c_custkey, round((c_acctbal + 1000) / 11000 * 10, 8) as c_acctbal from customer",
         "interpolate_linear": f"select day, round(case when pd = nd then pt else pt + (day - pd) * (nt - pt) / (nd - pd) end + 1e-9, 4) as total from {_NEAR}",
         "interpolate_previous": f"select day, round(pt + 1e-9, 4) as total from {_NEAR}",
         "interpolate_nearest": f"select day, round(case when day - pd <= nd - day then pt else nt end + 1e-9, 4) as total from {_NEAR}",
-        "time_sync": f"""with d as (select day, total from {_DAILY}), a as (select cast(unnest(generate_series(min(day), max(day), 2)) as int) as g from d), b as (select cast(unnest(generate_series(min(day) + 1, max(day) + 1, 2)) as int) as g from d)
-          select a.g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from a join b on a.g = b.g asof join d x on a.g >= x.day asof join (select day + 1 as day, total from d) y on a.g >= y.day""",
+        "time_sync": f"""with d as (select day, total from {_DAILY}), a as (select cast(unnest(generate_series(min(day), max(day), 2)) as int) as g from d), b as (select cast(unnest(generate_series(min(day) + 2, max(day) + 2, 2)) as int) as g from d)
+          select a.g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from a join b on a.g = b.g asof join d x on a.g >= x.day asof join (select day + 2 as day, total from d) y on a.g >= y.day""",
         "explode_col": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as chars from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1",
         "split_array": "select vec_id, " + ", ".join(f"round(cast(embedding[{i + 1}] as double), 5) as embedding{i}" for i in range(4)) + " from embeddings",
         "split_struct": "select n_nationkey, n_name as a, n_regionkey + 1 as b from nation",
         "json_props": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events",
+        "one_hot": "select r_name, case when ix < n - 1 then '(' || (n - 1) || ',[' || ix || '],[1.0])' else '(' || (n - 1) || ',[],[])' end as vec from region join (select r_name, row_number() over (order by count(*) desc, r_name) - 1 as ix, count(*) over () as n from region group by 1) using (r_name)",
+        "vectorize": "select p_partkey, '[' || cast(p_size as double) || ',' || p_retailprice || ']' as v from part",
+        "dbscan": """with recursive p as (select c_custkey as id, c_acctbal as x, c_nationkey as y from customer), e as (select a.id as a, b.id as b from p a join p b on a.y between b.y - 2 and b.y + 2 and abs(a.x - b.x) + abs(a.y - b.y) <= 2), core as (select a from e group by a having count(*) >= 4),
+          c as (select a, b from e where a in (from core) and b in (from core)), r as (select a, a as l from core union select c.b, r.l from r join c on c.a = r.a), m as (select a, min(l) as l from r group by a), near as (select e.a, min(m.l) as l from e join m on m.a = e.b group by 1), k as (select l, row_number() over (order by l) as n from (select distinct l from m))
+          select c_custkey, c_acctbal, c_nationkey, cast(coalesce(n, 0) as int) as "CLUSTER" from customer left join m on m.a = c_custkey left join near on near.a = c_custkey left join k on k.l = coalesce(m.l, near.l)""",
         "string_index": "select p_partkey, cast(ix as double) as ix from part join (select p_brand, row_number() over (order by count(*) desc, p_brand) - 1 as ix from part group by 1) using (p_brand)",
         "linear_regression": "select 'l_quantity' as attribute, round(regr_slope(l_extendedprice, l_quantity), 4) as weight from lineitem",
         "batch_predict": "select l_orderkey, l_linenumber, l_quantity, l_quantity * 2 + 1 as score from lineitem",

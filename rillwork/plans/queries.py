@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from ..operators import aggregate as agg
 from ..operators import clean, features, filters, joins, learn, project, rows, timeseries
 from ..privacy import mask, perturb, suppress, verify
 from ..privacy.fields import FieldSpec, Role
+from ..session import local_folder
 from ..streaming import windows as stream
 from .oracle import oracle_sql  # noqa: F401
 
@@ -142,7 +142,7 @@ simple("impute_drop", "events", lambda df: clean.impute("IM", ["value", "event_t
 simple("impute_constant", "events", lambda df: clean.impute("SPECIFIC_VALUE", ["value", "event_type"], numeric=-1.0, text="none")(_holes(df)))
 simple("impute_median", "events", lambda df: clean.impute("MEDIAN", ["value"])(_holes(df)), None, lambda df: df.withColumn("value", F.round("value", 6)))
 simple("impute_mean", "events", lambda df: clean.impute("MEAN", ["value"])(_holes(df)), None, lambda df: df.withColumn("value", F.round("value", 6)))
-simple("equal_width_bin", "part", clean.equal_width_bins(["p_retailprice"], 4), ["p_partkey", "p_retailprice"], lambda df: df.select("p_partkey", F.col("p_retailprice_result").substr(1, 6).alias("bin")))
+simple("equal_width_bin", "part", clean.equal_width_bins(["p_retailprice"], 4), ["p_partkey", "p_retailprice"], lambda df: df.select("p_partkey", F.col("p_retailprice_result").alias("bin")))
 simple("equal_depth_bin", "part", clean.equal_depth_bins(["p_size"], 5), ["p_partkey", "p_size"])
 simple("minmax_scale", "customer", clean.minmax_scale(["c_acctbal"], -1, 1), ["c_custkey", "c_acctbal"], lambda df: df.withColumn("c_acctbal", F.round("c_acctbal", 8)))
 simple("minmax_declared", "customer", clean.minmax_scale(["c_acctbal"], 0, 10, -1000, 10_000), ["c_custkey", "c_acctbal"], lambda df: df.withColumn("c_acctbal", F.round("c_acctbal", 8)))
@@ -155,7 +155,7 @@ def _daily(s: SparkSession, d: str) -> DataFrame:
 
 for _method in ("linear", "previous", "nearest"):
     query(f"interpolate_{_method}", "orders")(lambda df, s, d, m=_method: timeseries.interpolate("day", 3, m.upper())(_daily(s, d)).select(F.col("day").cast("int").alias("day"), F.round(F.col("total") + EPS, 4).alias("total")))
-query("time_sync", "orders")(lambda df, s, d: timeseries.time_synchronize("day", "day", 2, "PREVIOUS", 1)(_daily(s, d), _daily(s, d).withColumn("total", -F.col("total"))).select(F.col("time").cast("int").alias("time"), F.round("total", 2).alias("total"), F.round("total_right", 2).alias("total_right")))
+query("time_sync", "orders")(lambda df, s, d: timeseries.time_synchronize("day", "day", 2, "PREVIOUS", 2)(_daily(s, d), _daily(s, d).withColumn("total", -F.col("total"))).select(F.col("time").cast("int").alias("time"), F.round("total", 2).alias("total"), F.round("total_right", 2).alias("total_right")))
 query("explode_col", "documents", ["doc_id", "text"])(lambda df, s, d: project.explode_column("part", "line")(df.select("doc_id", F.split("text", "\n").alias("part"))).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")))
 query("split_array", "embeddings", ["vec_id", "embedding"])(lambda df, s, d: project.split_column("embedding", width=4)(df).select("vec_id", *(F.round(F.col(f"embedding{i}").cast("double"), 5).alias(f"embedding{i}") for i in range(4))))
 query("split_struct", "nation")(lambda df, s, d: project.split_column("s")(df.select("n_nationkey", F.struct(F.col("n_name").alias("a"), (F.col("n_regionkey") + 1).alias("b")).alias("s"))))
@@ -184,7 +184,7 @@ query("agglomerative", "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])(la
 def _shared(spark: SparkSession, name: str) -> str:
     """A folder that all executors see: beside the checkpoints, in a place of its own only where there are none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/') if base else tempfile.gettempdir()}/rillwork-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/') if base else local_folder(spark)}/rillwork-{name}-{uuid.uuid4().hex}"
 
 
 query("random_forest", "lineitem", ["l_quantity", "l_discount", "l_tax", "l_linestatus"])(lambda df, s, d: learn.random_forest_train("l_linestatus", _shared(s, "forest"), folds=2, trees=[5], depths=[3])(df))
@@ -257,14 +257,15 @@ def streamed(spark: SparkSession, d: str, table: str, plan: Callable[[DataFrame]
     stream_df = reader.parquet(source) if os.path.isdir(source) else reader.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
     def keep(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/out")
+        # a folder per batch: one that is run again writes the same folder again
+        df.write.mode("overwrite").parquet(f"{place}/out" if mode == "complete" else f"{place}/out/batch={batch}")
 
     made = plan(stream_df)
     q = made.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(made.schema).parquet(f"{place}/out")
+    return spark.read.schema(made.schema).parquet(f"{place}/out").select(*made.columns)
 
 
 _QUERIES["stream_filter"] = lambda s, d: streamed(s, d, "events", lambda df: filters.filter_rows("value", "LARGE_THAN", 50)(df).select("event_id", "value"))

@@ -89,12 +89,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rejected(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed(spark, d, False).where("reason is not null").select("line_id", "in_data_path", "reason", "bad_column", "bad_value")
+    return _parsed(spark, d, False).where("reason is not null").select("line_id", "in_data_path", "reason", F.explode_outer("bad_cells").alias("c")).select("line_id", "in_data_path", "reason", F.col("c.column_id"), F.col("c.text").alias("bad_value"))
 
 
 def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     good = _parsed(spark, d, True).where("reason is null")
-    return good.select("line_id", "in_data_path", F.inline("cells"))
+    return good.select("line_id", "in_data_path", F.inline("cells")).withColumn("as_epoch", F.unix_timestamp(F.col("as_time").cast("timestamp"))).drop("as_time")
 
 
 def _gridded(spark: SparkSession, d: str) -> DataFrame:
@@ -147,6 +147,14 @@ def _runs(field: str) -> str:
         select *, lag({field}) over (partition by link order by minute, rec_id) as before from x where {field} is not null))) where n >= 10"""
 
 
+def _donated(field: str, name: str) -> str:
+    """Each record's value of a field as text, with the observed ones before and after it in its group."""
+    val = f"case when {field} is not null then {{'minute': minute, 'rec_id': rec_id, 'val': cast({field} as varchar)}} end"
+    return f"""select rec_id, '{name}' as field_name, minute, cast({field} as varchar) as val,
+      case when grp is not null then last_value({val} ignore nulls) over (partition by grp order by minute, rec_id rows between unbounded preceding and 1 preceding) end as p,
+      case when grp is not null then first_value({val} ignore nulls) over (partition by grp order by minute, rec_id rows between 1 following and unbounded following) end as n from t"""
+
+
 _USABLE = """
   select s.*, k.kind, c.step_size, c.method_option, regexp_extract(c.watermark_delay, '([0-9]+)', 1)::bigint * case when c.watermark_delay like '%minute%' then 60 when c.watermark_delay like '%hour%' then 3600 else 1 end as delay_s,
     regexp_extract(c.window_length, '([0-9]+)', 1)::bigint * case when c.window_length like '%minute%' then 60 when c.window_length like '%hour%' then 3600 else 1 end as window_s, epoch_us(ts) as ts_us, epoch_us(arrived_at) as arr_us,
@@ -157,9 +165,27 @@ _USABLE = """
 _JUDGED = f"""select *, coalesce(ts_us < max(ts_us) over (partition by sensor_id order by arr_us, msg_id rows between unbounded preceding and 1 preceding) - delay_s * 1000000, false) as late from ({_USABLE})"""
 
 
+#: Fields (f), cells (v) and failing cells (b) of the lines.
+_LINES = r"""with l as (select line_id, in_data_path, raw_line, field_delimiter as d, column_count as k from input_lines left join datadescript using (in_data_path)),
+  s as (select *, replace(raw_line, d, chr(1)) as flat from l),
+  q as (select *, case when contains(raw_line, '"') then null else string_split(flat, chr(1)) end as plain from s),
+  f as (select line_id, in_data_path, k, plain as fields from q where plain is not null
+    union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^";]*)(?:;(?:"(?:[^"]|"")*"|[^";]*))*') then regexp_extract_all(d || raw_line, '(?s);("(?:[^"]|"")*"|[^";]*)', 1) end from q where plain is null and d = ';'
+    union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') then regexp_extract_all(d || raw_line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) end from q where plain is null and d = ','
+    union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') then regexp_extract_all(d || raw_line, '(?s)\t("(?:[^"]|"")*"|[^"\t]*)', 1) end from q where plain is null and d = chr(9)
+    union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"|]*)(?:\|(?:"(?:[^"]|"")*"|[^"|]*))*') then regexp_extract_all(d || raw_line, '(?s)\|("(?:[^"]|"")*"|[^"|]*)', 1) end from q where plain is null and d = '|'
+    union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)(?:\|\|(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*))*') then regexp_extract_all(d || raw_line, '(?s)\|\|("(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)', 1) end from q where plain is null and d = '||'),
+  c as (select line_id, in_data_path, unnest(fields) as raw, unnest(range(len(fields))) as column_id from f where fields is not null and len(fields) = k),
+  v as (select line_id, in_data_path, column_id, column_type as t, case when starts_with(raw, '"') then replace(raw[2:-2], '""', '"') else raw end as x from c join columndescript using (in_data_path, column_id)),
+  b as (select line_id, in_data_path, column_id, t, x from v where x <> '' and not case
+    when t in ('BYTE', 'INTEGER', 'LONG') then regexp_full_match(x, '-?[0-9]+') and coalesce(try_cast(x as hugeint) between case t when 'BYTE' then -128 when 'INTEGER' then -2147483648 else -9223372036854775808::hugeint end and case t when 'BYTE' then 127 when 'INTEGER' then 2147483647 else 9223372036854775807::hugeint end, false)
+    when t in ('FLOAT', 'DOUBLE') then regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?')
+    when t = 'BOOLEAN' then lower(x) in ('true', 'false')
+    when t = 'TIMESTAMP' then regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') and try_cast(x as timestamp) is not null and x[12:13] < '24'
+    else true end)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    donors = lambda f, name: f"""
-      select m.rec_id, '{name}' as field_name, coalesce(m.detector_id, m.link) as grp, m.minute from t m where m.{f} is null"""
     return {
         "p1_found": f"""with x as ({_POSSIBLE}), m as (select link, median(s) as ms, median(v) as mv, median(s * v) as mp from x group by link)
           select distinct rec_id from (
@@ -183,24 +209,11 @@ def oracle_sql() -> dict[str, str]:
           select a.sensor_id, a.period_start, a.arrival_start, cast(count(*) as int) as revision, cast(sum(b.n) as bigint) as records, cast(sum(b.k) as bigint) as readings, round(sum(b.s) + 1e-9, 6) as total, round(sum(b.s) / nullif(sum(b.k), 0) + 1e-9, 6) as mean, min(b.lo) as low, max(b.hi) as high, cast(sum(b.nl) as bigint) as rejected,
             a.arrival_start = max(a.arrival_start) over (partition by a.sensor_id, a.period_start) as is_final
           from c a join c b on a.sensor_id = b.sensor_id and a.period_start = b.period_start and b.arrival_start <= a.arrival_start group by a.sensor_id, a.period_start, a.arrival_start""",
-        "p4_found": r"""with l as (select line_id, in_data_path, raw_line, field_delimiter as d, column_count as k from input_lines left join datadescript using (in_data_path)),
-          s as (select *, replace(raw_line, d, chr(1)) as flat from l),
-          q as (select *, case when contains(raw_line, '"') then null else string_split(flat, chr(1)) end as plain from s),
-          f as (select line_id, in_data_path, k, plain as fields from q where plain is not null
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^";]*)(?:;(?:"(?:[^"]|"")*"|[^";]*))*') then regexp_extract_all(d || raw_line, '(?s);("(?:[^"]|"")*"|[^";]*)', 1) end from q where plain is null and d = ';'
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') then regexp_extract_all(d || raw_line, '(?s),("(?:[^"]|"")*"|[^",]*)', 1) end from q where plain is null and d = ','
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') then regexp_extract_all(d || raw_line, '(?s)\t("(?:[^"]|"")*"|[^"\t]*)', 1) end from q where plain is null and d = chr(9)
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|[^"|]*)(?:\|(?:"(?:[^"]|"")*"|[^"|]*))*') then regexp_extract_all(d || raw_line, '(?s)\|("(?:[^"]|"")*"|[^"|]*)', 1) end from q where plain is null and d = '|'
-            union all select line_id, in_data_path, k, case when regexp_full_match(raw_line, '(?s)(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)(?:\|\|(?:"(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*))*') then regexp_extract_all(d || raw_line, '(?s)\|\|("(?:[^"]|"")*"|(?:[^"|]|\|[^"|])*)', 1) end from q where plain is null and d = '||'),
-          c as (select line_id, in_data_path, unnest(fields) as raw, unnest(range(len(fields))) as column_id from f where fields is not null and len(fields) = k),
-          v as (select line_id, column_type as t, case when starts_with(raw, '"') then replace(raw[2:-2], '""', '"') else raw end as x from c join columndescript using (in_data_path, column_id)),
-          b as (select distinct line_id from v where x <> '' and not case
-            when t in ('BYTE', 'INTEGER', 'LONG') then regexp_full_match(x, '-?[0-9]+') and coalesce(try_cast(x as hugeint) between case t when 'BYTE' then -128 when 'INTEGER' then -2147483648 else -9223372036854775808::hugeint end and case t when 'BYTE' then 127 when 'INTEGER' then 2147483647 else 9223372036854775807::hugeint end, false)
-            when t in ('FLOAT', 'DOUBLE') then regexp_full_match(x, '-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?')
-            when t = 'BOOLEAN' then lower(x) in ('true', 'false')
-            when t = 'TIMESTAMP' then regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') and try_cast(x as timestamp) is not null and x[12:13] < '24'
-            else true end)
-          select line_id from f where fields is null or len(fields) <> k union select line_id from b""",
+        "p4_found": _LINES + " select line_id from f where fields is null or len(fields) <> k union select line_id from b",
+        "p4_rejected": _LINES + """ select line_id, in_data_path, case when fields is null then 'broken quoting' else 'wrong column count' end as reason, null::int as column_id, null as bad_value from f where fields is null or len(fields) <> k
+          union all select line_id, in_data_path, 'invalid ' || arg_min(t, column_id) over (partition by line_id), column_id, x from b""",
+        "p4_loaded": _LINES + """ select line_id, in_data_path, column_id, nullif(x, '') as text, case when t in ('BYTE', 'INTEGER', 'LONG') and x <> '' then cast(x as bigint) end as as_long, case when t in ('FLOAT', 'DOUBLE') and x <> '' then cast(x as double) end as as_double,
+          case when t = 'BOOLEAN' and x <> '' then lower(x) = 'true' end as as_bool, case when t = 'TIMESTAMP' and x <> '' then cast(epoch(cast(x as timestamp)) as bigint) end as as_epoch from v where line_id not in (select line_id from b)""",
         "p5_found": f"""with u as (select sensor_id, ts_us, step_size as w, lead(ts_us) over (partition by sensor_id order by ts_us, msg_id) as nxt from ({_USABLE}) where step_size > 0)
           select sensor_id, cast(unnest(generate_series(cast(floor(ts_us / 1000000 / w) as bigint) * w + w, cast(floor(nxt / 1000000 / w) as bigint) * w - w, w)) as bigint) as slot_epoch from u where nxt - ts_us <= 86400000000""",
         "p5_grid": f"""with u as (select sensor_id, msg_id, ts_us, v, step_size::bigint * 1000000 as w, method_option, cast(floor(ts_us / 1000000 / step_size) as bigint) * step_size * 1000000 as slot from ({_USABLE}) where step_size > 0),
@@ -216,12 +229,10 @@ def oracle_sql() -> dict[str, str]:
           from (select *, case when gt = slot and k > 0 then mean when method_option = 'LINEAR' and bef and aft and qt - pt <= 86400000000 then pv + (qv - pv) * (gt - pt) / (qt - pt)
             when method_option = 'NEAREST' then case when bef and (not aft or gt - pt <= qt - gt) then pv when aft then qv end when method_option = 'PREVIOUS' and bef then pv end as value from f)""",
         "p6_found": f"""with t as ({_TRAIN}) select rec_id, 'link_id' as field_name from t where link is null union all select rec_id, 'prcs_spd' from t where spd is null union all select rec_id, 'prcs_trv_time' from t where trv is null""",
-        "p6_filled": "with t as (" + _TRAIN + "), o as (" + " union all ".join(f"select '{n}' as field_name, coalesce(detector_id, link) as grp, minute, rec_id, cast({f} as varchar) as val from t where {f} is not null" for f, n in (("link", "link_id"), ("spd", "prcs_spd"), ("trv", "prcs_trv_time"))) + "), m as (" + " union all ".join(donors(f, n) for f, n in (("link", "link_id"), ("spd", "prcs_spd"), ("trv", "prcs_trv_time"))) + """),
-          p as (select m.rec_id, m.field_name, arg_max(o.val, (o.minute, o.rec_id)) as v, arg_max(o.rec_id, (o.minute, o.rec_id)) as r, m.minute - max(o.minute) as dist from m join o on m.grp = o.grp and m.field_name = o.field_name and (o.minute, o.rec_id) < (m.minute, m.rec_id) group by m.rec_id, m.field_name, m.minute),
-          n as (select m.rec_id, m.field_name, arg_min(o.val, (o.minute, o.rec_id)) as v, arg_min(o.rec_id, (o.minute, o.rec_id)) as r, min(o.minute) - m.minute as dist from m join o on m.grp = o.grp and m.field_name = o.field_name and (o.minute, o.rec_id) > (m.minute, m.rec_id) group by m.rec_id, m.field_name, m.minute),
-          a as (select m.rec_id, m.field_name, m.minute, p.dist as pd, n.dist as nd, p.v as pv, n.v as nv, p.r as pr, n.r as nr from m left join p using (rec_id, field_name) left join n using (rec_id, field_name)),
-          h as (select field_name, cast(floor(minute / 60) as bigint) as hour, arg_min(val, (minute, rec_id)) as v, arg_min(rec_id, (minute, rec_id)) as r, min(minute) as t from o group by 1, 2)
-          select a.rec_id, a.field_name, case when pd is null and nd is null then h.v when pd is null or nd < pd then nv else pv end as filled, case when pd is null and nd is null then h.r when pd is null or nd < pd then nr else pr end as donor_id,
-            cast(case when pd is null and nd is null then abs(h.t - a.minute) when pd is null or nd < pd then nd else pd end as bigint) as distance, case when pd is not null or nd is not null then 'group' when h.v is not null then 'hour' end as donor_kind
-          from a left join h on h.field_name = a.field_name and h.hour = cast(floor(a.minute / 60) as bigint)""",
+        "p6_filled": "with t as (select *, coalesce(detector_id, link) as grp from (" + _TRAIN + ")), a as (" + " union all ".join(_donated(f, n) for f, n in (("link", "link_id"), ("spd", "prcs_spd"), ("trv", "prcs_trv_time"))) + """),
+          h as (select field_name, cast(floor(minute / 60) as bigint) as hour, arg_min(val, (minute, rec_id)) as v, arg_min(rec_id, (minute, rec_id)) as r, min(minute) as t from a where val is not null group by 1, 2),
+          m as (select *, minute - p.minute as pd, n.minute - minute as nd from a where val is null)
+          select m.rec_id, m.field_name, case when pd is null and nd is null then h.v when pd is null or nd < pd then n.val else p.val end as filled, case when pd is null and nd is null then h.r when pd is null or nd < pd then n.rec_id else p.rec_id end as donor_id,
+            cast(case when pd is null and nd is null then abs(h.t - m.minute) when pd is null or nd < pd then nd else pd end as bigint) as distance, case when pd is not null or nd is not null then 'group' when h.v is not null then 'hour' end as donor_kind
+          from m left join h on h.field_name = m.field_name and h.hour = cast(floor(m.minute / 60) as bigint)""",
     }

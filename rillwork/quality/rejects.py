@@ -23,11 +23,12 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 
 SCHEMA = (
-    "line_id long, in_data_path string, reason string, bad_column int, bad_value string, "
+    "line_id long, in_data_path string, reason string, bad_column int, bad_value string, bad_cells array<struct<column_id:int,text:string>>, "
     "cells array<struct<column_id:int,text:string,as_long:bigint,as_double:double,as_bool:boolean,as_time:timestamp_ntz>>"
 )
 _CELL = pa.struct([("column_id", pa.int32()), ("text", pa.string()), ("as_long", pa.int64()), ("as_double", pa.float64()), ("as_bool", pa.bool_()), ("as_time", pa.timestamp("us"))])
-_OUT = pa.schema([("line_id", pa.int64()), ("in_data_path", pa.string()), ("reason", pa.string()), ("bad_column", pa.int32()), ("bad_value", pa.string()), ("cells", pa.list_(_CELL))])
+_BAD = pa.list_(pa.struct([("column_id", pa.int32()), ("text", pa.string())]))
+_OUT = pa.schema([("line_id", pa.int64()), ("in_data_path", pa.string()), ("reason", pa.string()), ("bad_column", pa.int32()), ("bad_value", pa.string()), ("bad_cells", _BAD), ("cells", pa.list_(_CELL))])
 #: Stands for a delimiter of several characters; lines that hold it themselves are parsed alone.
 _UNIT = "\x1f"
 
@@ -184,7 +185,7 @@ def _parse(specs: dict[str, FileSpec], with_cells: bool):
     def rejects(batch: pa.RecordBatch, at: np.ndarray, reason: str) -> pa.Table:
         ids, paths = batch["line_id"].take(pa.array(at)), batch["in_data_path"].take(pa.array(at))
         n = len(at)
-        return pa.Table.from_arrays([ids, paths, pa.array([reason] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(_CELL))], schema=_OUT)
+        return pa.Table.from_arrays([ids, paths, pa.array([reason] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, _BAD), pa.nulls(n, pa.list_(_CELL))], schema=_OUT)
 
     def load(batch: pa.RecordBatch, at: np.ndarray, spec: FileSpec) -> Iterator[pa.Table]:
         good, columns, broken, wrong = _columns(batch["raw_line"].take(pa.array(at)), spec)
@@ -194,7 +195,7 @@ def _parse(specs: dict[str, FileSpec], with_cells: bool):
         n = len(good)
         if not n:
             return
-        bad_col, bad_val = np.full(n, -1, np.int32), np.full(n, None, object)
+        bad_cells: dict[int, list[dict]] = {}
         cells = []
         for k, (texts, kind) in enumerate(zip(columns, spec.types, strict=True)):
             texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts)
@@ -209,12 +210,14 @@ def _parse(specs: dict[str, FileSpec], with_cells: bool):
             elif kind == "TIMESTAMP":
                 cast["as_time"], ok = _cast_time(texts)
             if ok is not None:
-                failed = pc.is_valid(texts).to_numpy(zero_copy_only=False) & ~pc.fill_null(ok, False).to_numpy(zero_copy_only=False) & (bad_col < 0)
-                for i in np.flatnonzero(failed):
-                    bad_col[i], bad_val[i] = k, texts[int(i)].as_py()
+                failed = pc.is_valid(texts).to_numpy(zero_copy_only=False) & ~pc.fill_null(ok, False).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(failed).tolist():
+                    bad_cells.setdefault(i, []).append({"column_id": k, "text": texts[i].as_py()})
             if with_cells:
                 cells.append(pa.StructArray.from_arrays([pa.array(np.full(n, k, np.int32)), texts, *cast.values()], fields=list(_CELL)))
-        bad = bad_col >= 0
+        bad, bad_col, bad_val = np.zeros(n, bool), np.full(n, -1, np.int32), np.full(n, None, object)
+        for i, failing in bad_cells.items():
+            bad[i], bad_col[i], bad_val[i] = True, failing[0]["column_id"], failing[0]["text"]
         where = at[good]
         if with_cells:  # column-wise to row-wise
             flat = pa.concat_arrays(cells).take(pa.array(np.arange(n * spec.count).reshape(spec.count, n).T.ravel()))
@@ -226,7 +229,7 @@ def _parse(specs: dict[str, FileSpec], with_cells: bool):
         reason = np.where(bad, np.char.add("invalid ", types[np.maximum(bad_col, 0)].astype(str)), "")
         yield pa.Table.from_arrays([
             batch["line_id"].take(pa.array(where)), batch["in_data_path"].take(pa.array(where)), pa.array(reason.tolist(), pa.string(), mask=~bad), pa.array(bad_col, mask=~bad),
-            pa.array(bad_val.tolist(), pa.string()), lists.cast(pa.list_(_CELL)),
+            pa.array(bad_val.tolist(), pa.string()), pa.array([bad_cells.get(i) for i in range(n)], _BAD), lists.cast(pa.list_(_CELL)),
         ], schema=_OUT)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,8 @@ def read_specs(files: DataFrame, columns: DataFrame, most: int = 100_000) -> dic
 
 
 def parse_lines(lines: DataFrame, specs: dict[str, FileSpec], *, cells: bool = True) -> DataFrame:
-    """One row per line with SCHEMA: `reason` is null and `cells` typed for lines that load.
+    """One row per line with SCHEMA: `reason` is null and `cells` typed for lines that load. `bad_cells` are all
+    failing cells of a line; the first of them is its `bad_column` and `bad_value` and gives the reason.
 
     Defined cases: a null line is rejected ('no line'), as is one of a file without description
     ('unknown file'); an empty field is a null, quoted or not; an empty line has one empty field;

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ProcessError
+
 
 def make_session(app: str = "rillwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE, UTC and Arrow. Values given in `conf` win (dots as `__`)."""
@@ -31,7 +33,14 @@ def use_checkpoints(spark: SparkSession) -> None:
     private folder is set only where the session has none (tests, local runs)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillwork-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or local_folder(spark))
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine; an error on a cluster, whose other machines would not see it."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ProcessError("a cluster needs a shared folder: set spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="rillwork-")
 
 
 def is_small(df: DataFrame, rows: int) -> bool:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwork.errors import ProcessError, ValidationError
-from rillwork.operators import aggregate, clean, features, filters, joins, learn, project, rows, timeseries
+from rillwork.operators import aggregate, clean, features, filters, joins, learn, project, ranks, rows, timeseries
 from rillwork.registry import build, operator, operators
 
 # Inputs and answers that other implementations of these operators are tested with.
@@ -67,10 +67,24 @@ def test_bins_golden(spark):
     assert got[2:4] == ["range1[-Infinity-5.000000]", "range2[5.000000-8.000000]"] and got[-1] == "range4[11.000000-Infinity]"
     with pytest.raises(ValidationError):
         clean.equal_width_bins(["v"], 4)(width.where("v = 2"))
-    assert clean.depth_cuts([(1, 2), (2, 1), (3, 3)], 3) in ([1.5, 2.5], [1.5], [2.5])
-    with pytest.raises(ProcessError):
-        clean.depth_cuts([(1, 50), (2, 1)], 5)
-    assert clean.target_sizes(11, 4) == [2, 3, 3, 3] and sum(clean.target_sizes(17, 6)) == 17
+    spread = spark.range(0, 100_000).selectExpr("case when id % 10 = 9 then null else exp(id / 3000.0) end as v")
+    got = clean.equal_depth_bins(["v"], 4)(spread).groupBy("v_result").count().collect()
+    assert sorted(r["count"] for r in got if r.v_result) == [22_500] * 4 and {r["count"] for r in got if not r.v_result} == {10_000}
+    for rows in ([1] * 50 + [2], [1, 1, 2, 3, 3, 3], [], [7]):
+        with pytest.raises(ProcessError):
+            clean.equal_depth_bins(["v"], 5)(spark.createDataFrame([(v,) for v in rows], "v int"))
+
+
+def test_values_at_ranks(spark):
+    import random
+
+    rng = random.Random(3)
+    for values in ([], [5.0], [1.0, 2.0], [0.0] * 9000 + [1.0], [rng.gauss(0, 1) for _ in range(9001)], [rng.lognormvariate(0, 9) * rng.choice((-1, 1)) for _ in range(9000)], [float(i) for i in range(9000)] + [1e308, -1e308, float("inf"), float("-inf"), float("nan"), None]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        known = sorted(v for v in values if v is not None and v == v)
+        n = len(known)
+        assert ranks.values_at(df, F.col("v"), lambda n: sorted({0, n // 4, n // 2, n - 1})) == [known[i] for i in sorted({0, n // 4, n // 2, n - 1})] if n else ranks.values_at(df, F.col("v"), lambda n: [0]) == []
+        assert ranks.median_of(df, F.col("v")) == (None if not n else known[(n - 1) // 2] / 2 + known[n // 2] / 2)
 
 
 def test_minmax_and_impute(spark):

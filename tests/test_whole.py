@@ -16,8 +16,8 @@ DAILY = {
     "interpolate_linear": f"select day, round(case when pd = nd then pt else pt + (day - pd) * (nt - pt) / (nd - pd) end + 1e-9, 4) as total from {_NEAR}",
     "interpolate_previous": f"select day, round(pt + 1e-9, 4) as total from {_NEAR}",
     "interpolate_nearest": f"select day, round(case when day - pd <= nd - day then pt else nt end + 1e-9, 4) as total from {_NEAR}",
-    "time_sync": f"""with d as (select * from {_DAILY}), g as (select cast(unnest(generate_series(min(day), max(day), 2)) as int) as g from d), h as (select cast(unnest(generate_series(min(day) + 1, max(day) + 1, 2)) as int) as g from d)
-      select g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from (select g from g join h using (g)) asof join d x on g >= x.day asof join (select day + 1 as day, total from d) y on g >= y.day""",
+    "time_sync": f"""with d as (select * from {_DAILY}), g as (select cast(unnest(generate_series(min(day), max(day), 2)) as int) as g from d), h as (select cast(unnest(generate_series(min(day) + 2, max(day) + 2, 2)) as int) as g from d)
+      select g as time, round(x.total, 2) as total, round(-y.total, 2) as total_right from (select g from g join h using (g)) asof join d x on g >= x.day asof join (select day + 2 as day, total from d) y on g >= y.day""",
 }
 
 _ALL = "c_custkey, c_nationkey, o_orderkey, o_custkey"
