@@ -160,6 +160,12 @@ def oracle_sql() -> dict[str, str]:
         "loss_hierarchy": "select cast(count(*) * 0.5 as double) as hierarchical_loss from customer",
         "risk_reid": f"select 1.0 / min(n) as risk from {_SIZES}",
         "risk_global": f"select round(avg(1.0 / n), 8) as global_risk from {_SIZES}",
+        "priv_check": f"with s as ({_suppressed('n < 10')}), z as (select count(*) as n from s group by c_nationkey, c_mktsegment) select sum(n) / count(*) as loss, cast(1.0 / min(n) as double) as risk, cast(min(n) as double) as anonymity from z",
+        "priv_lattice": "select cast(a as int) as c_mktsegment, cast(b as int) as c_nationkey, round((a / 2.0 + b / 3.0) / 2, 6) as height from range(0, 3) t(a), range(0, 4) u(b)",
+        "file_round_trip": "select n_nationkey, n_name, n_regionkey from nation",
+        "workflow_batch": "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 1000",
+        "order_by": "select p_partkey, p_size from part",
+        "merge_inner": "select n_regionkey as k, n_name, r_name from nation join region on n_regionkey = r_regionkey",
         "stream_filter": "select event_id, value from events where value > 50",
         "stream_groupby_window": "select event_type, count(value) as count_value, round(sum(value), 4) as sum_value, cast(epoch(time_bucket(interval 1 hour, ts)) as bigint) as start from events group by 1, 4",
         "stream_interval_join": "select a.event_id, b.event_id as before_id from events a join events b on a.user_id = b.user_id and a.ts >= b.ts and a.ts <= b.ts + interval 30 minutes",

@@ -16,8 +16,10 @@ from ..operators import clean, features, filters, joins, learn, project, rows, t
 from ..privacy import mask, perturb, suppress, verify
 from ..privacy.fields import FieldSpec, Role
 from ..session import local_folder
+from ..sources import readers, writers
 from ..streaming import windows as stream
 from .oracle import oracle_sql  # noqa: F401
+from .workflow import Workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -245,6 +247,30 @@ simple("risk_reid", "customer", lambda df: verify.reidentification_risk(df, QUAS
 simple("risk_global", "customer", lambda df: verify.global_risk(df, QUASI), _V, lambda df: df.select(F.round("global_risk", 8).alias("global_risk")))
 
 
+_check = verify.checked(suppress.suppress_small_classes(QUASI, k=10), QUASI, loss="AECS", risk="UNIQUENESS", model="K_ANONYMITY")
+simple("priv_check", "customer", lambda df: _check(df)[1], _V)
+query("priv_lattice", "region")(lambda df, s, d: s.createDataFrame([(n["c_mktsegment"], n["c_nationkey"], round(h, 6)) for n, h in mask.lattice({"c_nationkey": 3, "c_mktsegment": 2})], "c_mktsegment int, c_nationkey int, height double"))
+
+
+# --- sources, sinks and workflows ---
+@query("file_round_trip", "nation")
+def _file_round_trip(df: DataFrame, s: SparkSession, d: str) -> DataFrame:
+    path = _shared(s, "files")
+    writers.file_writer(path, "CSV", delimiter=";")(df)
+    return readers.file_reader([path], "CSV", ";", True, [("n_nationkey", "INTEGER"), ("n_name", "STRING"), ("n_regionkey", "INTEGER")])(s)
+
+
+def _workflow(s: SparkSession, d: str) -> DataFrame:
+    tables = [{"reader": "file", "paths": [f"{d}/{t}.parquet"], "kind": "PARQUET"} for t in ("supplier", "nation")]
+    plan = {"engines": [{"id": 1, "readers": tables, "operators": [{"op": "join_columns", "pairs": [("s_nationkey", "n_nationkey")], "kind": "INNER"}, {"op": "filter_rows", "column": "s_acctbal", "condition": "LARGE_THAN", "value": 1000}, {"op": "select_columns", "names": ["s_suppkey", "n_name"]}]}]}
+    return Workflow.load(plan).engines[0].frame(s)
+
+
+_QUERIES["workflow_batch"] = _workflow
+simple("order_by", "part", filters.order_by("p_size", False), ["p_partkey", "p_size"])
+query("merge_inner", "nation", ["n_name", "n_regionkey"])(lambda df, s, d: joins.merge_tables(["INNER_JOIN"], "k")(df.withColumnRenamed("n_regionkey", "k"), _read(s, d, "region").select(F.col("r_regionkey").alias("k"), "r_name")))
+
+
 # --- streams: the same operators over a file stream, run to the end ---
 def streamed(spark: SparkSession, d: str, table: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Run a plan as a streaming query over a table's files and return what it wrote.

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ValidationError
 from ..registry import build
-from ..sources import readers, writers
+from ..sources import readers as readers_of
+from ..sources import writers as writers_of
+from ..sources.http import register_http
 
-READERS = {"file": readers.file_reader, "privacy_file": readers.privacy_reader, "table": readers.table_reader, "sql": readers.sql_reader, "connector": readers.connector_reader, "kafka": readers.kafka_reader, "kafka_pipe": readers.kafka_pipe_reader, "file_pipe": readers.file_pipe_reader}
-WRITERS = {"file": writers.file_writer, "table": writers.table_writer, "connector": writers.connector_writer, "kafka": writers.kafka_writer, "http": writers.http_writer, "stdout": writers.stdout_writer, "console_pipe": writers.console_pipe, "file_pipe": writers.file_pipe, "kafka_pipe": writers.kafka_pipe, "memory_pipe": writers.memory_pipe, "connector_pipe": writers.connector_pipe}
+READERS = {"file": readers_of.file_reader, "privacy_file": readers_of.privacy_reader, "table": readers_of.table_reader, "sql": readers_of.sql_reader, "connector": readers_of.connector_reader, "kafka": readers_of.kafka_reader, "kafka_pipe": readers_of.kafka_pipe_reader, "file_pipe": readers_of.file_pipe_reader}
+WRITERS = {"file": writers_of.file_writer, "table": writers_of.table_writer, "connector": writers_of.connector_writer, "kafka": writers_of.kafka_writer, "http": writers_of.http_writer, "stdout": writers_of.stdout_writer, "console_pipe": writers_of.console_pipe, "file_pipe": writers_of.file_pipe, "kafka_pipe": writers_of.kafka_pipe, "memory_pipe": writers_of.memory_pipe, "connector_pipe": writers_of.connector_pipe}
 
 
 @dataclass(frozen=True)
@@ -44,9 +46,32 @@ class Engine:
             raise ValidationError(f"engine {self.id} has {len(frames)} inputs and no operator that joins them")
         return frames[0]
 
-    def run(self, spark: SparkSession) -> list:
+    def run(self, spark: SparkSession, every: str | None = None) -> list:
+        """Run the writers; streaming ones that name no trigger of their own are triggered `every` so often (None: once)."""
         df = self.frame(spark)
-        return [_made(WRITERS, "writer", w)(df) for w in self.writers]
+        return [_made(WRITERS, "writer", {"trigger": every} | w if w["writer"].endswith("_pipe") else w)(df) for w in self.writers]
+
+
+def _multiple(readers: list[dict], **options):
+    return readers_of.multiple_readers([_made(READERS, "reader", r) for r in readers], **options)
+
+
+def _http(**options):
+    def read(spark: SparkSession) -> DataFrame:
+        register_http(spark)
+        return spark.read.format("http_poll").options(**options).load()
+
+    return read
+
+
+def _batch_pipe(to: list[dict], **options):
+    """Every micro-batch to each of several batch writers."""
+    made = [_made(WRITERS, "writer", w) for w in to]
+    return writers_of.batch_pipe(lambda df, batch: [w(df) for w in made] and None, **options)
+
+
+READERS |= {"multiple": _multiple, "http": _http}
+WRITERS |= {"batch_pipe": _batch_pipe}
 
 
 def _made(kinds: dict, what: str, params: dict):
@@ -87,7 +112,7 @@ class Workflow:
         """Run all engines; streaming queries of earlier engines are awaited where they end by themselves."""
         out = []
         for e in self.ordered():
-            made = e.run(spark)
+            made = e.run(spark, self.trigger().get("processingTime"))
             for q in made:
                 if q is not None and self.run_type.get("kind", "ONCE") == "ONCE":
                     q.awaitTermination()

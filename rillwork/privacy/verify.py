@@ -4,10 +4,14 @@ Classes are counted with map-side combine; everything else works on the class ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import ColumnRef, col, names_of
+from ..errors import ValidationError
+from ..registry import Op
 
 
 def _sizes(df: DataFrame, quasi: list[ColumnRef]) -> DataFrame:
@@ -113,3 +117,43 @@ def reidentification_risk(df: DataFrame, quasi: list[ColumnRef]) -> DataFrame:
 def global_risk(df: DataFrame, quasi: list[ColumnRef]) -> DataFrame:
     """Mean of 1 / size over classes."""
     return _sizes(df, quasi).agg(F.avg(F.lit(1.0) / F.col("n")).alias("global_risk"))
+
+
+#: What `check` can be asked for; each makes a one-row table of original, anonymous, quasi-identifiers and sensitive column.
+LOSSES = {
+    "AECS": lambda o, a, q, s: aecs_loss(a, q),
+    "DISCERNIBILITY": lambda o, a, q, s: discernibility(a, q),
+    "CARDINALITY": lambda o, a, q, s: cardinality_loss(o, a, q),
+    "EQUIVALENCE": lambda o, a, q, s: equivalence_loss(o, a, q),
+}
+RISKS = {"UNIQUENESS": lambda o, a, q, s: reidentification_risk(a, q), "GLOBAL": lambda o, a, q, s: global_risk(a, q)}
+MODELS = {
+    "K_ANONYMITY": lambda o, a, q, s: k_anonymity(a, q),
+    "L_DISTINCT": lambda o, a, q, s: l_diversity(a, q, s),
+    "L_ENTROPY": lambda o, a, q, s: l_diversity(a, q, s, "ENTROPY"),
+    "T_CLOSENESS": lambda o, a, q, s: t_closeness(a, q, s),
+}
+
+
+def check(original: DataFrame, anonymous: DataFrame, quasi: list[ColumnRef], sensitive: ColumnRef | None = None, *, loss: str = "AECS", risk: str = "UNIQUENESS", model: str = "K_ANONYMITY") -> DataFrame:
+    """Loss, risk and anonymity of an anonymised table in one row (loss, risk, anonymity)."""
+    for kind, known in ((loss, LOSSES), (risk, RISKS), (model, MODELS)):
+        if kind not in known:
+            raise ValidationError(f"unknown measure {kind!r}; known: {sorted(known)}")
+    if sensitive is None and not model.startswith("K"):
+        raise ValidationError(f"{model} needs a sensitive column")
+    values = []
+    for name, made in (("loss", LOSSES[loss]), ("risk", RISKS[risk]), ("anonymity", MODELS[model])):
+        one = made(original, anonymous, quasi, sensitive)
+        values.append(one.select(col(one.columns[0]).cast("double")).scalar().alias(name))
+    return original.sparkSession.range(1).select(*values)
+
+
+def checked(op: Op, quasi: list[ColumnRef], sensitive: ColumnRef | None = None, **measures: str) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """An anonymising operator that also returns its check: df to (anonymous table, one-row check)."""
+
+    def run(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        out = op(df)
+        return out, check(df, out, quasi, sensitive, **measures)
+
+    return run

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 
+#: Searches that may find nothing in a hundred documents.
+MAY_BE_EMPTY = {"p8_found", "p8_passages", "p9_found"}
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -31,7 +33,8 @@ def test_query(name, spark, sf, con):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     if name not in ORACLES:
-        assert df.count() >= 0
+        rows = df.count()
+        assert len(set(df.columns)) == len(df.columns) and (rows > 0 or name in MAY_BE_EMPTY)
         return
     got = sorted(tuple(map(plain, r)) for r in df.select(*(f"`{c}`" for c in columns)).collect())
     res = con.execute(ORACLES[name])
