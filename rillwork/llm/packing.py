@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import hint_small, use_checkpoints
 
+#: Ranks of one stretch of the join between documents and slots.
+STRETCH = 1024
 PLAN = "target_id int, length long, rank_from long, rank_to long, first_container long, per_container long, start long"
 
 
@@ -100,14 +102,16 @@ def pack(lengths: DataFrame, targets: DataFrame, *, salts: int = 64) -> DataFram
     for r in counts.groupBy("target_id", "capacity", "length").agg(F.sum("n").alias("n")).collect():
         histogram.setdefault((r.target_id, r.capacity), {})[r.length] = r.n
     slots = [(target, *slot) for (target, capacity), h in histogram.items() for slot in plan_slots(h, capacity)]
-    plan = hint_small(spark.createDataFrame(slots, PLAN), 300_000)
+    # slots by the stretches of ranks that they touch, so that a document of a frequent length meets its own stretch's slots only
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    plan = hint_small(spark.createDataFrame(slots, PLAN).withColumn("stretch", F.explode(F.sequence(stretch("rank_from"), F.floor((F.col("rank_to") - 1) / STRETCH)))), 300_000)
     before = Window.partitionBy("target_id", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("target_id", "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("target_id", "length", "salt").orderBy("doc_id", "piece")
-    ranked = items.withColumn("own", F.row_number().over(inside) - 1).join(shift, ["target_id", "length", "salt"]).withColumn("rank", F.col("own") + F.col("shift"))
+    ranked = items.withColumn("own", F.row_number().over(inside) - 1).join(shift, ["target_id", "length", "salt"]).withColumn("rank", F.col("own") + F.col("shift")).withColumn("stretch", stretch("rank"))
     slot = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     a, p = ranked.alias("a"), plan.alias("p")
-    placed = a.join(p, (F.col("a.target_id") == F.col("p.target_id")) & (F.col("a.length") == F.col("p.length")) & slot, "left")
+    placed = a.join(p, (F.col("a.target_id") == F.col("p.target_id")) & (F.col("a.length") == F.col("p.length")) & (F.col("a.stretch") == F.col("p.stretch")) & slot, "left")
     step = F.col("rank") - F.col("rank_from")
     return placed.select(
         "a.target_id", F.coalesce(F.col("first_container") + F.floor(step / F.col("per_container")), F.lit(0)).alias("container_id"),
