@@ -108,6 +108,22 @@ def test_workflow(spark, tmp_path):
     assert Workflow.load({"engines": [], "run_type": {"kind": "EVERY_MINUTE"}}).trigger() == {"processingTime": "1 minute"}
 
 
+def test_streaming_workflow_fans_out(spark, tmp_path):
+    spark.range(6).selectExpr("id as x").write.json(str(tmp_path / "in"))
+    twice = {"reader": "multiple", "readers": [{"reader": "file", "paths": [str(tmp_path / "in")], "kind": "JSON"}] * 2, "kinds": ["CONCAT"]}
+    to = [{"writer": "file", "path": str(tmp_path / name), "kind": "JSON", "mode": "APPEND"} for name in ("a", "b")]
+    flow = {
+        "run_type": {"kind": "ONCE"},
+        "engines": [
+            {"id": 1, "readers": [{"reader": "file_pipe", "path": str(tmp_path / "in"), "kind": "JSON", "fields": [["x", "LONG"]], "time": None}], "operators": [{"op": "filter_rows", "column": "x", "condition": "LARGE_THAN", "value": 3}], "writers": [{"writer": "batch_pipe", "to": to, "checkpoint": str(tmp_path / "state")}]},
+            {"id": 2, "prev": 1, "readers": [twice], "writers": [{"writer": "file", "path": str(tmp_path / "c"), "kind": "JSON"}]},
+        ],
+    }
+    Workflow.load(flow).run(spark)
+    assert [sorted(r.x for r in spark.read.json(str(tmp_path / n)).collect()) for n in "ab"] == [[4, 5], [4, 5]]
+    assert spark.read.json(str(tmp_path / "c")).count() == 12
+
+
 def test_functions(spark):
     assert spark.range(1).select(udf.register_scalar(spark, "inc", lambda x: x + 1, "long")("id")).first()[0] == 1
     assert udf.geometric_mean(__import__("pandas").Series([1.0, 4.0])) == pytest.approx(2.0)
