@@ -63,10 +63,14 @@ def fit(df: DataFrame, source: str, detector: str | None, fields: tuple[str, ...
         homes = pairs.withColumn("home", F.max(F.struct("n", "s")).over(Window.partitionBy("d"))["s"])
         spread = homes.groupBy("s").agg(F.count_distinct(F.when(F.col("s") != F.col("home"), F.col("home"))).alias("foreign"), F.count_if(F.col("s") == F.col("home")).alias("own"))
         odd = (F.col("foreign") >= min_foreign) & (F.col("foreign") > F.col("own"))
-        seen = spread.agg(F.count_if(odd).alias("odd"), F.count_if(~odd).alias("k")).first()
-        if seen.odd > most:
-            raise ValidationError(f"{seen.odd} source ids look like stand-ins, more than {most}")
-        found, sources = tuple(sorted(r.s for r in spread.where(odd).select("s").collect())) if seen.odd else (), seen.k
+        spread = spread.select("s", odd.alias("odd")).persist()  # one row per source, asked twice
+        try:
+            seen = spread.agg(F.count_if("odd").alias("odd"), F.count_if(~F.col("odd")).alias("k")).first()
+            if seen.odd > most:
+                raise ValidationError(f"{seen.odd} source ids look like stand-ins, more than {most}")
+            found, sources = tuple(sorted(r.s for r in spread.where("odd").select("s").collect())) if seen.odd else (), seen.k
+        finally:
+            spread.unpersist()
     rules = MissingRules(found)
     if not fields:
         return rules
