@@ -202,14 +202,30 @@ def link_clusters(points: np.ndarray, k: int, link: str) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def _widest_gaps(values: DataFrame, c: str, k: int) -> list[float]:
+    """The numbers behind the k widest gaps between neighbouring different values; of equal gaps the last ones."""
+    from .project import numbered
+
+    order = numbered(values.select(col(c).cast("double").alias("v")).distinct(), ["v"], "n")
+    before = order.select((F.col("n") + 1).alias("n"), F.col("v").alias("before"))
+    gaps = order.join(before, "n").select("v", (F.col("v") - F.col("before")).alias("gap"))
+    return sorted(r.v for r in gaps.orderBy(F.desc("gap"), F.desc("v")).limit(k).collect())
+
+
 @operator("agglomerative")
 def agglomerative(clusters: int, link: str = "SINGLE", columns: list[ColumnRef] | None = None, groups: list[ColumnRef] = (), most_rows: int = 3_000, name: str = "CLUSTER") -> Op:
-    """Hierarchical clustering per group (or of the whole table). The method needs all pairs, so a group of more
-    than `most_rows` different rows is refused rather than cut; equal rows are one."""
+    """Hierarchical clustering per group (or of the whole table) by Manhattan distance; equal rows are one.
+
+    SINGLE on one column of a whole table parts it at its widest gaps, whatever its size. Elsewhere the
+    method needs all pairs, so a group of more than `most_rows` different rows is refused rather than cut."""
 
     def run(df: DataFrame) -> DataFrame:
         by = names_of(df, groups)
         chosen = [c for c in _numbers(df, columns) if c not in by]
+        if link == "SINGLE" and len(chosen) == 1 and not by:
+            cuts = _widest_gaps(df.na.drop(subset=chosen), chosen[0], clusters - 1)
+            number = sum((F.when(col(chosen[0]) >= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+            return df.withColumn(name, F.when(col(chosen[0]).isNotNull(), number).cast("int"))
         distinct = df.select(*map(col, by), *map(col, chosen)).na.drop(subset=chosen).distinct()
         largest = distinct.groupBy(*map(col, by)).count().agg(F.max("count")).first()[0] or 0
         if largest > most_rows:

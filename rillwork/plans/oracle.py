@@ -116,6 +116,7 @@ def oracle_sql() -> dict[str, str]:
         "json_props": "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events",
         "one_hot": "select r_name, case when ix < n - 1 then '(' || (n - 1) || ',[' || ix || '],[1.0])' else '(' || (n - 1) || ',[],[])' end as vec from region join (select r_name, row_number() over (order by count(*) desc, r_name) - 1 as ix, count(*) over () as n from region group by 1) using (r_name)",
         "vectorize": "select p_partkey, '[' || cast(p_size as double) || ',' || p_retailprice || ']' as v from part",
+        "agglomerative_single": "with g as (select v, v - lag(v) over (order by v) as gap from (select distinct c_acctbal as v from customer)), c as (select list(v) as cuts from (select v from g where gap is not null order by gap desc, v desc limit 4)) select c_custkey, c_acctbal, cast(len(list_filter(cuts, lambda x: x <= c_acctbal)) as int) as \"CLUSTER\" from customer, c",
         "dbscan": """with recursive p as (select c_custkey as id, c_acctbal as x, c_nationkey as y from customer), e as (select a.id as a, b.id as b from p a join p b on a.y between b.y - 2 and b.y + 2 and abs(a.x - b.x) + abs(a.y - b.y) <= 2), core as (select a from e group by a having count(*) >= 4),
           c as (select a, b from e where a in (from core) and b in (from core)), r as (select a, a as l from core union select c.b, r.l from r join c on c.a = r.a), m as (select a, min(l) as l from r group by a), near as (select e.a, min(m.l) as l from e join m on m.a = e.b group by 1), k as (select l, row_number() over (order by l) as n from (select distinct l from m))
           select c_custkey, c_acctbal, c_nationkey, cast(coalesce(n, 0) as int) as "CLUSTER" from customer left join m on m.a = c_custkey left join near on near.a = c_custkey left join k on k.l = coalesce(m.l, near.l)""",

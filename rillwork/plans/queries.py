@@ -182,6 +182,8 @@ query("kmedoids", "customer", ["c_custkey", "c_acctbal"])(lambda df, s, d: learn
 query("dbscan", "customer", ["c_custkey", "c_acctbal", "c_nationkey"])(lambda df, s, d: learn.dbscan(2.0, 4, "c_custkey", ["c_acctbal", "c_nationkey"])(df))
 query("agglomerative", "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])(lambda df, s, d: learn.agglomerative(2, "AVERAGE", ["s_acctbal"], ["s_nationkey"])(df))
 
+query("agglomerative_single", "customer", ["c_custkey", "c_acctbal"])(lambda df, s, d: learn.agglomerative(5, "SINGLE", ["c_acctbal"])(df))
+
 
 def _shared(spark: SparkSession, name: str) -> str:
     """A folder that all executors see: beside the checkpoints, in a place of its own only where there are none."""

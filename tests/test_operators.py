@@ -219,3 +219,16 @@ def test_registry(spark):
         return lambda d: d.withColumn(column, F.col(column) + 1)
 
     assert [r.x for r in build("plus_one", column="x")(df).collect()] == [1, 2, 3]
+
+
+def test_single_linkage_of_a_column_is_that_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [float(rng.randint(0, 60)) for _ in range(40)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.CLUSTER for r in learn.agglomerative(4, "SINGLE")(df).collect()}
+    points = sorted({v for v in values if v is not None})
+    want = learn.link_clusters(__import__("numpy").array(points)[:, None], 4, "SINGLE")
+    assert got == dict(zip(points, want.tolist(), strict=True)) | {None: None}
+    assert learn.agglomerative(4, "SINGLE")(df.limit(0)).count() == 0
