@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ColumnRef, col, is_numeric, name_of, names_of
@@ -133,13 +133,60 @@ def kmedoids(k: int = 2, max_iter: int = 20, seed: int = 7, columns: list[Column
     return run
 
 
+#: Edges that one task joins into trees.
+TREE_EDGES = 1_000_000
+
+
+def trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and for each the least node it is connected with. The roots of an edge's ends are
+    hooked to the lesser one and all paths are then made flat, so that rounds grow with the logarithm of a chain's length."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _tree_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    all_edges = list(frames)
+    if all_edges:
+        nodes, roots = trees(*(np.concatenate([f[c].to_numpy() for f in all_edges]) for c in ("a", "b")))
+        yield pd.DataFrame({"a": nodes, "r": roots})
+
+
+def connected(edges: DataFrame, max_rounds: int | None = None, most: int | None = None) -> list[DataFrame]:
+    """Steps (a, l) that lead, one after the other, from a node of the edges (a, b) to one node of its component.
+
+    Each task joins up to `most` edges into trees; the roots at which a node stands in several trees are the edges of the
+    next round, so one round is enough up to `most` edges. `max_rounds` makes it an error if a node still moves in that round."""
+    most, steps = most or TREE_EDGES, []
+    edges = edges.checkpoint()
+    while n := edges.count():
+        parts = -(-n // most)
+        apart = edges.repartitionByRange(parts, "a", "b") if parts > 1 else edges.coalesce(1)
+        stood = apart.mapInPandas(_tree_frames, "a long, r long").checkpoint()
+        steps.append(stood.groupBy("a").agg(F.min("r").alias("l")))
+        if max_rounds is not None and len(steps) >= max_rounds:
+            raise ValidationError(f"labels still move after {max_rounds} rounds")
+        if parts == 1:
+            break
+        edges = stood.join(steps[-1], "a").where("r <> l").select(F.col("r").alias("a"), F.col("l").alias("b")).distinct().checkpoint()
+    return steps
+
+
 @operator("dbscan")
 def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[ColumnRef] | None = None, name: str = "CLUSTER", max_rounds: int | None = None) -> Op:
     """Density clusters by Manhattan distance <= eps; 0 is noise, clusters are numbered by their least id.
 
     Neighbours are found inside grid cells of width eps (practical in few dimensions). Equal points are one
-    point with a weight, so copies cost nothing. Core points are joined into clusters by label propagation with
-    pointer jumping until no label moves; rounds are written down with checkpoint(). `max_rounds` makes it an error to need more."""
+    point with a weight, so copies cost nothing. Points of a cell so small that all are neighbours are one node, and if they
+    are `min_points` they are core points unseen. Nodes are joined into clusters by `connected`."""
 
     def run(df: DataFrame) -> DataFrame:
         spark = df.sparkSession
@@ -147,36 +194,46 @@ def dbscan(eps: float, min_points: int, id_column: ColumnRef, columns: list[Colu
         key = name_of(df, id_column)
         chosen = _numbers(df.drop(key), columns) if columns is None else _numbers(df, columns)
         dims = [f"__d{i}" for i in range(len(chosen))]
+        grid = [f"g{i}" for i in range(len(dims))]
+
+        def near(a: DataFrame, b: DataFrame, kept: list[str]) -> DataFrame:
+            """The columns `kept` of the pairs within eps. Cells are a little wider than eps, as quotients are rounded."""
+            at = lambda d: F.floor(F.col(d) / (1.01 * eps)).cast("double")
+            a = a.withColumns(dict(zip(grid, map(at, dims), strict=True)))
+            for g in grid:
+                a = a.withColumn(g, F.explode(F.array_distinct(F.array(*(F.col(g) + o for o in (-1, 0, 1))))))
+            b = b.withColumns(dict(zip(grid, map(at, dims), strict=True))).withColumnsRenamed({d: f"b{d}" for d in dims})
+            far = sum((F.abs(F.col(d) - F.col(f"b{d}")) for d in dims), F.lit(0.0))
+            return a.join(b, grid).where(far <= eps).select(*kept)
+
         points = df.select(col(key).alias("__id"), *(col(c).cast("double").alias(d) for c, d in zip(chosen, dims, strict=True))).na.drop()
-        groups = points.groupBy(*dims).agg(F.min("__id").alias("p"), F.count("*").alias("w")).checkpoint()
-        cells = groups.select("*", *(F.floor(F.col(d) / eps).alias(f"c{i}") for i, d in enumerate(dims)))
-        near = cells
-        for i in range(len(dims)):
-            near = near.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + o for o in (-1, 0, 1)))))
-        keys = [f"c{i}" for i in range(len(dims))]
-        a = cells.select(F.col("p").alias("a"), *keys, *(F.col(d).alias(f"a{d}") for d in dims))
-        b = near.select(F.col("p").alias("b"), "w", *keys, *(F.col(d).alias(f"b{d}") for d in dims))
-        far = sum((F.abs(F.col(f"a{d}") - F.col(f"b{d}")) for d in dims), F.lit(0.0))
-        links = a.join(b, keys).where(far <= eps).select("a", "b", "w").checkpoint()
-        core = links.groupBy("a").agg(F.sum("w").alias("n")).where(F.col("n") >= min_points).select("a").checkpoint()
-        edges = links.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b").checkpoint()
-        label = core.select("a", F.col("a").alias("l")).checkpoint()
-        rounds = 0
-        while True:
-            rounds += 1
-            low = edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l"))
-            jumped = low.join(label.select(F.col("a").alias("l"), F.col("l").alias("m")), "l", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"))
-            moved = jumped.checkpoint()
-            if not moved.join(label.withColumnRenamed("l", "o"), "a").where("l < o").limit(1).count():
-                break
-            label = moved
-            if max_rounds is not None and rounds >= max_rounds:
-                raise ValidationError(f"labels still move after {max_rounds} rounds")
-        reach = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("near")).join(label, "a", "left").select(F.col("a").alias("p"), F.coalesce("l", "near").alias("l"))
+        for d in dims:
+            points = points.where(F.abs(d) < float("inf"))  # others are near nothing
+        groups = points.groupBy(*dims).agg(F.min("__id").alias("p"), F.count("*").alias("w"))
+        cell = Window.partitionBy(*(F.floor(F.col(d) * len(dims) / eps) for d in dims))
+        extent = sum((F.max(d).over(cell) - F.min(d).over(cell) for d in dims), F.lit(0.0))
+        placed = groups.withColumns({"whole": extent <= eps, "first": F.min("p").over(cell), "in_cell": F.sum("w").over(cell)})
+        placed = placed.select(*dims, "p", "w", F.when(F.col("whole"), F.col("first")).otherwise(F.col("p")).alias("s"), (F.col("whole") & (F.col("in_cell") >= min_points)).alias("sure")).checkpoint()
+        counts = near(placed.where("not sure").select("p", *dims), placed.select("w", *dims), ["p", "w"]).groupBy("p").agg(F.sum("w").alias("n"))
+        found = counts.where(F.col("n") >= min_points).select("p").checkpoint()
+        core = placed.where("sure").unionByName(placed.where("not sure").join(found, "p", "left_semi")).select("p", "s", *dims)
+        # numbers of nodes go by place, so that a task's edges are those of a region
+        nodes = core.groupBy("s").agg(F.min("p").alias("least"), *(F.min(d).alias(d) for d in dims)).repartitionByRange(*dims).sortWithinPartitions(*dims)
+        nodes = nodes.select("s", "least", F.monotonically_increasing_id().alias("a")).checkpoint()
+        ends = core.join(nodes, "s").select("a", *dims)
+        steps = connected(near(ends, ends.withColumnRenamed("a", "b"), ["a", "b"]).where("a < b").distinct(), max_rounds)
+        label = nodes
+        for step in steps:
+            label = label.join(step, "a", "left").withColumn("a", F.coalesce("l", "a")).drop("l")
+        label = label.checkpoint()
+        least = label.groupBy("a").agg(F.min("least").alias("l"))
         from .project import numbered
 
-        order = numbered(label.select("l").distinct(), ["l"], "n").select("l", F.col("n").cast("int").alias("n"))
-        per_group = groups.join(reach, "p", "left").join(order, "l", "left").select(*dims, F.coalesce("n", F.lit(0)).alias("__n"))
+        order = numbered(least, ["l"], "n").select("a", F.col("n").cast("int").alias("__n"))
+        known = core.join(label.join(order, "a").select("s", "__n"), "s").select("p", "__n", *dims).checkpoint()
+        rest = placed.where("not sure").join(found, "p", "left_anti").select("p", *dims)
+        touched = near(rest, known.select("__n", *dims), [*dims, "__n"]).groupBy(*dims).agg(F.min("__n").alias("__n"))
+        per_group = known.select(*dims, "__n").unionByName(touched)
         on = [col(c).cast("double").eqNullSafe(per_group[d]) for c, d in zip(chosen, dims, strict=True)]
         return df.join(per_group, on, "left").select(*map(col, df.columns), F.coalesce("__n", F.lit(0)).alias(name))
 

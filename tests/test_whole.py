@@ -1,5 +1,7 @@
 """Registered queries read their tables whole: compared with statements over the whole tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ import __spark_entry__ as entry
 from rillwork.errors import ValidationError
 from rillwork.operators import learn
 from rillwork.plans.queries import _daily
+from rillwork.session import use_checkpoints
 
 QUERIES = entry.queries()
 _DAILY = "(select datediff('day', date '1992-01-01', cast(o_orderdate as date)) as day, round(sum(o_totalprice), 2) as total from orders group by 1)"
@@ -68,3 +71,49 @@ def test_dbscan_refuses_to_stop_early(spark):
     chain = spark.createDataFrame([(i, float(i)) for i in range(9)], "id int, x double")
     with pytest.raises(ValidationError):
         learn.dbscan(1.0, 2, "id", max_rounds=1)(chain)
+
+
+def brute_dbscan(points: list[tuple], eps: float, least: int) -> dict[int, int]:
+    near = {i: [j for j, y in points if sum((abs(u - v) for u, v in zip(x, y, strict=True)), 0.0) <= eps] for i, x in points}
+    core, label = {i for i in near if len(near[i]) >= least}, {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            if (j := todo.pop()) not in label:
+                label[j] = i
+                todo += [k for k in near[j] if k in core]
+    number = {x: n for n, x in enumerate(sorted(set(label.values())), 1)}
+    return {i: number[label[i]] if i in core else min((number[label[j]] for j in near[i] if j in core), default=0) for i in near}
+
+
+def test_dbscan_long_chains_take_few_rounds(spark):
+    # a label that moves one point a round needs as many rounds as the chain is long, and the driver keeps a plan for each
+    ids = random.Random(5).sample(range(150), 150)
+    chain = spark.createDataFrame([(i, float(x)) for x, i in enumerate(ids)], "id int, x double")
+    assert {r.CLUSTER for r in learn.dbscan(1.0, 2, "id", max_rounds=4)(chain).collect()} == {1}
+
+
+def test_dbscan_against_brute_force(spark):
+    draw = random.Random(3)
+    for eps, least, high in ((0.3, 4, 4.0), (2.0, 3, 30.0), (0.1, 2, 1.0)):
+        points = [(i, (round(draw.uniform(-high, high), 1), float(draw.randint(0, 4)) * eps)) for i in range(150)]
+        df = spark.createDataFrame([(i, *x) for i, x in points], "id int, x double, y double")
+        assert {r.id: r.CLUSTER for r in learn.dbscan(eps, least, "id")(df).collect()} == brute_dbscan(points, eps, least)
+    odd = spark.createDataFrame([(1, float("inf")), (2, float("inf")), (3, float("nan")), (4, None), (5, 0.0), (6, 0.5)], "id int, x double")
+    assert {r.id: r.CLUSTER for r in learn.dbscan(1.0, 2, "id")(odd).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1}
+
+
+def test_components_over_several_tasks(spark):
+    use_checkpoints(spark)
+    draw = random.Random(8)
+    pairs = [tuple(draw.sample(range(300), 2)) for _ in range(220)] + [(999, i) for i in range(900, 930)]
+    label = {x: x for pair in pairs for x in pair}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = spark.createDataFrame([(x, x) for x in label], "node long, a long")
+    steps = learn.connected(spark.createDataFrame(pairs, "a long, b long"), most=40)
+    for step in steps:
+        got = got.join(step, "a", "left").selectExpr("node", "coalesce(l, a) as a")
+    parts = lambda of: {frozenset(x for x in of if of[x] == k) for k in of.values()}
+    assert len(steps) > 1 and parts({r.node: r.a for r in got.collect()}) == parts(label)
