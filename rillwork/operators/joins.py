@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ColumnRef, col, name_of, names_of
@@ -81,18 +82,49 @@ def _seconds(within: str) -> int | None:
     return int(m[1]) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[m[2].lower()] or None if m else None
 
 
+#: Bucket widths of a range join, as the left side is copied for each. Steps of ranges that are one value, and of those without an end.
+MOST_WIDTHS, EQUAL, OPEN = 6, 5_000, -5_000
+
+
+def _merged(seen: dict[int, int], most: int = MOST_WIDTHS) -> list[int]:
+    """The steps to use: rare ones are given up for the next wider one, which costs them twice the candidates per step between."""
+    seen = dict(seen)
+    while len(seen) > most:
+        order = sorted(seen)
+        wider, n = min(zip(order, order[1:], strict=False), key=lambda x: seen[x[1]] * 2.0 ** min(x[1] - x[0], 900))
+        seen[wider] += seen.pop(n)
+    return sorted(seen)
+
+
 @operator("join_range")
 def join_range(key: str | None, value: str, low: str, high: str, width: float) -> Op:
     """Rows of the left whose `value` lies within [low, high] of the right (with an equal `key`, if one is given).
 
-    Coarse buckets of `width` make it an equi-join: a range is copied into the buckets it touches."""
+    Buckets make it an equi-join: a range is copied into the buckets it touches. Their `width` is halved or doubled until it
+    fits a range's length (counted first), so that a range meets few rows beside its own, and is copied into two or three;
+    where lengths differ, the left side is copied for each width. Streams keep `width`."""
+    number = lambda c: col(c).cast("double")
+
+    def at(c: str, n: int) -> Column:
+        if n in (EQUAL, OPEN):
+            return number(c) if n == EQUAL else F.lit(0.0)
+        return F.floor(number(c) / math.ldexp(width, -n))
+
+    def span(n: int) -> Column:
+        return F.array(at(low, n)) if n in (EQUAL, OPEN) else F.sequence(at(low, n), at(high, n)).cast("array<double>")
 
     def run(a: DataFrame, b: DataFrame) -> DataFrame:
-        left = a.withColumn("__b", F.floor(col(value) / width))
         b = b.where(col(low) <= col(high))
-        right = b.withColumn("__b", F.explode(F.sequence(F.floor(col(low) / width), F.floor(col(high) / width))))
-        keys = ["__b", key] if key else ["__b"]
-        return left.join(right, keys).where((col(value) >= col(low)) & (col(value) <= col(high))).drop("__b")
+        length = number(high) - number(low)
+        fit = F.floor(F.log2(F.lit(float(width))) - F.log2(F.greatest(length, F.lit(1e-300)))).cast("int")
+        step = F.when(length == 0, EQUAL).when(length < 1e300, fit).otherwise(OPEN)
+        streams = a.isStreaming or b.isStreaming
+        steps = [0] if streams else _merged({r[0]: r[1] for r in b.groupBy(step).count().collect()}) or [0]
+        chosen = lambda of: F.coalesce(*(F.when(F.col("__n") == n, of(n)) for n in steps))
+        left = a.withColumn("__n", F.explode(F.array(*map(F.lit, steps)))).withColumn("__b", chosen(lambda n: at(value, n).cast("double")))
+        right = b.withColumn("__n", F.coalesce(*(F.when(step >= n, n) for n in reversed(steps)), F.lit(steps[0]))).withColumn("__b", F.explode(chosen(span)))
+        keys = ["__b", "__n", key] if key else ["__b", "__n"]
+        return left.join(right, keys).where((col(value) >= col(low)) & (col(value) <= col(high))).drop("__b", "__n")
 
     return run
 

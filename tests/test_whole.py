@@ -1,13 +1,15 @@
 """Registered queries read their tables whole: compared with statements over the whole tables."""
 
 import random
+import threading
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rillwork.errors import ValidationError
-from rillwork.operators import learn
+from rillwork.operators import joins, learn
 from rillwork.plans.queries import _daily
 from rillwork.session import use_checkpoints
 
@@ -117,3 +119,32 @@ def test_components_over_several_tasks(spark):
         got = got.join(step, "a", "left").selectExpr("node", "coalesce(l, a) as a")
     parts = lambda of: {frozenset(x for x in of if of[x] == k) for k in of.values()}
     assert len(steps) > 1 and parts({r.node: r.a for r in got.collect()}) == parts(label)
+
+
+def test_range_join_narrow_ranges_meet_few_rows(spark):
+    # 200,000 x 200,000 rows in one bucket of the given width; stopped after a minute
+    left = spark.range(200_000).selectExpr("id", "id * 0.125D as v")
+    right = spark.range(200_000).selectExpr("id as r", "id * 0.125D as low", "id * 0.125D + 0.1 as high")
+    context = spark.sparkContext
+    context.setJobGroup("narrow", "range join")
+    stop = threading.Timer(60, context.cancelJobGroup, ["narrow"])
+    stop.start()
+    try:
+        assert joins.join_range(None, "v", "low", "high", 50_000)(left, right).count() == 200_000
+    finally:
+        stop.cancel()
+        context.setJobGroup("", "")
+    assert joins._merged({}) == [] and joins._merged({0: 5, 1: 9, 7: 2}, 6) == [0, 1, 7] and joins._merged({0: 1, 1: 1, 2: 50}, 2) == [0, 2]
+
+
+def test_range_join_of_all_lengths(spark):
+    draw, inf, nan = random.Random(4), float("inf"), float("nan")
+    values = [(i, draw.choice((1, 100, 1e6)) * draw.uniform(-1, 1) // 0.1 * 0.1) for i in range(300)] + [(300, inf), (301, -inf), (302, nan), (303, 0.0), (304, -0.0), (305, None), (306, 1e300)]
+    ranges = [(i, x, x + draw.choice((0.0, 1e-9, 0.1, 0.3, 1.0, 8.0, 1e3, 1e5, 3e6))) for i, (_, x) in enumerate(values[:200])]
+    ranges += [(400, 0.0, 0.0), (401, -inf, inf), (402, 5.0, inf), (403, -inf, -5.0), (404, 7.0, nan), (405, nan, nan), (406, 2.0, 1.0), (407, None, 1.0), (408, 1.0, None), (409, inf, inf), (410, -1.7e308, 1.7e308), (411, 0.0, 5e-324)]
+    a = spark.createDataFrame([(i, i % 2, v) for i, v in values], "i int, k int, v double")
+    b = spark.createDataFrame([(j, j % 2, x, y) for j, x, y in ranges], "j int, k int, lo double, hi double")
+    plain = a.withColumnRenamed("k", "k1").join(b, (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    for key, want in ((None, plain), ("k", plain.where("k = k1"))):
+        got = joins.join_range(key, "v", "lo", "hi", 10)(a if key else a.drop("k"), b).select("i", "j").collect()
+        assert len(got) > 400 and sorted(got) == sorted(want.select("i", "j").collect())
